@@ -51,14 +51,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+def durable(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the readers nothing, because
-    the rows no longer depend on shuffle files or on cached blocks.
+    the rows no longer depend on shuffle files or on cached blocks. ``narrow``
+    tables hold a few numbers a row; they are written in one file per core
+    of the cluster instead of one per shuffle partition, so that rounds over small tables do not make thousands of files.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if narrow:
+        df = df.coalesce(max(2, spark.sparkContext.defaultParallelism))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -31,9 +31,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     is written to the shared folder.
     """
     now = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    now, seen = durable(now, "links"), None
+    now, seen = durable(now, "links", narrow=True), None
     for _ in range(max_rounds):
-        now = durable(_small_star(_large_star(now)).distinct(), "links")
+        now = durable(_small_star(_large_star(now)).distinct(), "links", narrow=True)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break

@@ -58,11 +58,11 @@ def exact_dedup(
     prefix = F.xxhash64(size, F.substring("__text", 1, prefix_chars))
 
     lengths = base.groupBy(size.alias("__len")).agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("__len").alias("k"))
-    by_length = durable(_survivor_bitmap(lengths, "k", pages), "lengths")
+    by_length = durable(_survivor_bitmap(lengths, "k", pages), "lengths", narrow=True)
 
     first = _flag(base.select("__text"), F.xxhash64(size), by_length, pages, "__again").where("__again")
     prefixes = first.groupBy(prefix.alias("k")).agg(F.count("*").alias("n")).where("n > 1").select("k")
-    by_prefix = durable(_survivor_bitmap(prefixes, "k", pages), "prefixes")
+    by_prefix = durable(_survivor_bitmap(prefixes, "k", pages), "prefixes", narrow=True)
 
     second = _flag(base, prefix, by_prefix, pages, "__again")
     hashed = second.select("__id", size.alias("__len"), F.when(F.col("__again"), F.sha2("__text", 256)).alias("__full"), *[f"__c_{n}" for n in carry or {}])

@@ -215,7 +215,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     spark = df.sparkSession
     rows = durable(pieces(df, id_col, text_col, capacity, tokenizer), "pieces")
     # ranks within a length over the whole corpus: a task's own ranks, after those of the tasks before it
-    counted = durable(rows.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
+    counted = durable(rows.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts", narrow=True)
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     starts = counted.select("part", "length", F.coalesce(before, F.lit(0)).alias("before"))
     histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows

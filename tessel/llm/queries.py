@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .packing import op2_best_fit_packing
+from .pii import op1_pii
 from .simhash import op4_simhash
+from .toxicity import op5_toxicity
+from .warc import op7_warc
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_simhash": op4_simhash,
+    "op5_toxicity": op5_toxicity,
+    "op7_warc": op7_warc,
     "op10_exact_dedup": op10_exact_dedup,
 }
 

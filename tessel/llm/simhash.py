@@ -319,7 +319,7 @@ def near_groups(
     """
     rows = durable(with_fingerprint(df, id_col, text_col, bits, words), "fingerprints")
     marked = rows.groupBy("fp").agg(F.min(id_col).alias("least"))
-    classes = durable(marked.withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes = durable(marked.withColumn("node", F.monotonically_increasing_id()), "classes", narrow=True)
     groups, thresholds, hot = plan_probes(classes, bits, radius, parts)
     links = bucket_links(probe_rows(classes, bits, groups, thresholds, hot, radius), bits, radius)
     return _labelled(rows, classes, links, id_col)
@@ -327,7 +327,7 @@ def near_groups(
 
 def _labelled(rows: DataFrame, classes: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
     found = connected_components(links)
-    of = durable(classes.join(found, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("c")), "members")
+    of = durable(classes.join(found, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("c")), "members", narrow=True)
     least = of.groupBy("c").agg(F.min("least").alias("component_id"))
     return rows.join(of.join(least, "c").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
@@ -354,7 +354,7 @@ def near_groups_by_similarity(
     parts = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** width))
     bits = -(-parts * width // 64) * 64
     rows = durable(with_fingerprint(df, id_col, text_col, bits, words), "fingerprints")
-    classes = durable(rows.groupBy("fp").agg(F.min(id_col).alias("least")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes = durable(rows.groupBy("fp").agg(F.min(id_col).alias("least")).withColumn("node", F.monotonically_increasing_id()), "classes", narrow=True)
     groups = [list(range(k * width, (k + 1) * width)) for k in range(parts)]
     radius = round(p * bits)
 

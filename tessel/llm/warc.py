@@ -40,7 +40,7 @@ def write_warc(
     size, strong = F.octet_length("payload").cast("long"), F.sha2("payload", 256)
     equal = rows.where(size >= min_revisit).groupBy(strong.alias("strong")).agg(F.max("id").alias("original"), F.count("*").alias("n")).where("n > 1 and original is not null")
     # written first, so that its size is known: small, it is sent to all tasks and no payload moves; large, it is shuffled
-    joined = rows.withColumn("strong", F.when(size >= min_revisit, strong)).join(durable(equal.drop("n"), "originals"), "strong", "left")
+    joined = rows.withColumn("strong", F.when(size >= min_revisit, strong)).join(durable(equal.drop("n"), "originals", narrow=True), "strong", "left")
     again = F.col("original").isNotNull() & (F.col("id").isNull() | (F.col("id") < F.col("original")))
     header = F.concat(
         F.when(again, "WARC-Type: revisit\r\n").otherwise("WARC-Type: response\r\n"),
@@ -108,18 +108,18 @@ def _mark_split(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 def reachable(candidates: DataFrame) -> DataFrame:
     """``(file, off)`` of the candidates that the chain from their file's start reaches; candidates have file, block, off, after."""
     links = candidates.select("file", "block", "off", F.coalesce("after", F.lit(-1)).alias("after"))
-    jumps = durable(links.groupBy("file", "block").applyInPandas(_leave_split, "file string, off long, leaves long"), "jumps")
+    jumps = durable(links.groupBy("file", "block").applyInPandas(_leave_split, "file string, off long, leaves long"), "jumps", narrow=True)
     entries, jump = jumps.where("off = 0").select("file", "off"), jumps
     n, splits = entries.count(), candidates.select("file", "block").distinct().groupBy("file").count().agg(F.max("count")).first()[0] or 1
     for _ in range(max(0, splits - 1).bit_length()):
         more = entries.join(jump, ["file", "off"]).select("file", F.col("leaves").alias("off")).join(jumps.select("file", "off"), ["file", "off"], "left_semi")
-        entries = durable(entries.union(more).distinct(), "entries")
+        entries = durable(entries.union(more).distinct(), "entries", narrow=True)
         found = entries.count()
         if found == n:
             break
         n = found
         onward = jump.select("file", F.col("off").alias("leaves"), F.col("leaves").alias("further"))
-        jump = durable(jump.join(onward, ["file", "leaves"]).select("file", "off", F.col("further").alias("leaves")), "jumps")
+        jump = durable(jump.join(onward, ["file", "leaves"]).select("file", "off", F.col("further").alias("leaves")), "jumps", narrow=True)
     told = links.join(entries.withColumn("entry", F.lit(True)), ["file", "off"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
     return told.groupBy("file", "block").applyInPandas(_mark_split, "file string, off long")
 
@@ -142,7 +142,7 @@ def read_warc(spark: SparkSession, path: str, keep_payload: bool = False) -> Dat
     # the rest: a start within the payload cut it; its pieces are put together again
     first = lambda c: F.max(F.when(F.col("real"), F.col(c))).alias(c)
     # few, so written first: their size decides whether the second reading is joined by a broadcast or a shuffle
-    pieces = durable(told.where("not (real and whole) and n > 0").select("file", "block", "idx", "n", "off", "real", "head_size", "content", *fields), "cut")
+    pieces = durable(told.where("not (real and whole) and n > 0").select("file", "block", "idx", "n", "off", "real", "head_size", "content", *fields), "cut", narrow=True)
     pieces = _between_starts(spark, path).join(pieces, ["file", "block", "idx"])
     cut = pieces.groupBy("file", "n").agg(*map(first, [*fields, "head_size", "content"]), F.array_sort(F.collect_list(F.struct("off", F.col("value").alias("raw")))).alias("pieces"))
     whole_raw = F.array_join(F.transform("pieces", lambda p: p["raw"]), MAGIC).cast("binary")
