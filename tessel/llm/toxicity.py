@@ -28,8 +28,8 @@ TRAIN_ROWS = 20_000
 #: Lexicon entries kept, strongest first.
 MAX_TERMS = 2000
 #: An entry needs this many different contexts in toxic texts, and to be this many times as frequent there as in others.
-MIN_CONTEXTS, MIN_RATIO = 8, 15.0
-STEMS = (4, 5, 6)
+MIN_CONTEXTS, MIN_RATIO = 5, 15.0
+STEMS = (4, 5, 6, 7, 8)
 #: Words this long or longer may be misspelled by one edit.
 FUZZY_LENGTH = 5
 WINDOW = 6
