@@ -1,18 +1,77 @@
-"""A corpus cleaning pipeline in five stages: toxicity, exact dedup, SimHash near-dedup, PII, packing."""
+"""A corpus cleaning pipeline in five stages: toxicity, exact dedup, SimHash near-dedup, PII, packing.
+
+Each stage takes the documents that the one before kept, with all columns, and
+works on whole texts. Null and empty texts are documents like any other; rows that repeat each other are copies, of
+which one stays; an empty table runs through.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessel.llm import exact_dedup, packing, pii, simhash, toxicity
+from tessel.llm.common import durable, table
+
+#: A row's number while a stage decides on it; stable, because stages read written tables.
+ROW = "__tessel_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the numbered rows. Those are written first: if few, they go to all tasks; else Spark shuffles by the row's number."""
+    return _numbered(docs).join(durable(dropped.select(ROW), "dropped", narrow=True), ROW, "left_anti").select(*docs.columns)
+
+
+def toxic_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model scores at 0.5 or more go."""
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, name="__tessel_score").where("__tessel_score < 0.5").select(*docs.columns)
+
+
+def exact_copies_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays (of repeated rows, one)."""
+    rows = _numbered(docs).select(F.struct("doc_id", ROW).alias("id"), "text")
+    dropped = exact_dedup.exact_dedup(rows, id_col="id").where("not kept").select(F.col(f"id.{ROW}").alias(ROW))
+    return _without(docs, dropped)
+
+
+def near_copies_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of texts with a similarity of 0.8 or more (five-word shingles) the row with the smallest doc_id stays."""
+    rows = _numbered(docs).select(F.struct("doc_id", ROW).alias("id"), "text")
+    found = simhash.near_groups_by_similarity(rows, id_col="id", words=5, similarity=0.8)
+    return _without(docs, found.where("id <> component_id").select(F.col(f"id.{ROW}").alias(ROW)))
+
+
+def personal_data_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by its kind; ``n_chars`` follows."""
+    masked = pii.redact(docs)
+    return masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces and their places in sequences of at most 4096 tokens."""
+    return packing.pack(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxic_go),
+    ("exact_dedup", exact_copies_go),
+    ("simhash_near_dedup", near_copies_go),
+    ("pii", personal_data_masked),
+    ("best_fit_packing", packed),
+]
 
 #: No stage but exact dedup has an SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over the documents table, each on what the one before wrote."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

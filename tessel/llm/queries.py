@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
+from .embedding_dedup import op8_embedding_dedup
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .packing import op2_best_fit_packing
 from .pii import op1_pii
+from .sentence_pieces import op3_sentence_pieces
 from .simhash import op4_simhash
+from .suffix_dedup import op6_suffix_dedup
+from .token_counts import WORDS_SQL, op9_token_counts, token_counts_words
 from .toxicity import op5_toxicity
 from .warc import op7_warc
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_sentence_pieces": op3_sentence_pieces,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_warc": op7_warc,
+    "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
+    "token_counts_words": token_counts_words,
 }
 
-#: The others have no SQL form: tokenizers, iterative links, learned models, files. tests/llm holds them against brute force.
-ORACLE_SQL = {"op10_exact_dedup": OP10_SQL}
+#: The result of op7 as its contract states it; the query gets it through archives that it writes and reads back.
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+     g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top, strlen(h) AS n FROM p)
+SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
+FROM g
+"""
+
+#: The others have no SQL form: tokenizers, iterative links, learned models. tests/llm holds them against brute force.
+ORACLE_SQL = {"op7_warc": OP7_SQL, "op10_exact_dedup": OP10_SQL, "token_counts_words": WORDS_SQL}
