@@ -170,7 +170,8 @@ def test_packing_plan(seed):
         assert seen == counts and all(ranks[k] == set(range(n)) for k, n in counts.items())
         assert max(bins.values()) <= 100 and len(bins) == plan.bins
     total = sum(k * n for k, n in counts.items())
-    assert packing.best_plan(counts, 100).bins <= 1.06 * total / 100 + 1
+    # seed 0: each 67 and 51 needs a sequence, 34 only joins 51 or another 34, so 118 + 111 + 19 is the least
+    assert packing.best_plan(counts, 100).bins <= (1.06 * total / 100 + 1 if seed else 248)
 
 
 def test_word_bpe_equals_the_tokenizer():
