@@ -109,10 +109,13 @@ def compare_rows(got: Sequence[Mapping], want: Sequence[Mapping], tolerance: flo
                 if x != y:
                     raise ValueError(f"row {i}, {k}: {x!r}, not {y!r}")
             elif hasattr(x, "__float__"):
-                worst = max(worst, 0.0 if float(x) == float(y) else abs(float(x) - float(y)))
+                x, y = float(x), float(y)
+                if math.isnan(x) != math.isnan(y):
+                    raise ValueError(f"row {i}, {k}: {x!r}, not {y!r}")
+                worst = max(worst, 0.0 if x == y or math.isnan(x) else abs(x - y))
             elif str(x) != str(y):
                 raise ValueError(f"row {i}, {k}: {x!r}, not {y!r}")
-    if worst > tolerance or math.isnan(worst):
+    if worst > tolerance:
         raise ValueError(f"numbers differ by {worst}")
     return worst
 
