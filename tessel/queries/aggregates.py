@@ -22,6 +22,7 @@ _GROUP = "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS q, cou
 @query("a01_hash_group_by", _GROUP)
 @query("a11_group_keys", _GROUP)
 @query("a21_key_aggregates", _GROUP)
+@query("a28_generic_aggregates", _GROUP)
 def _(t):
     return A.group(t.lineitem, ["l_returnflag", "l_linestatus"], q=F.round(F.sum("l_quantity"), 2), n=F.count("*"))
 
@@ -237,6 +238,11 @@ def _(t):
     return W.rank_columns(t.lineitem, ["l_suppkey"], [("l_quantity", "desc"), "l_discount", ("l_partkey", "desc")]).select("l_orderkey", "l_linenumber", "l_partkey", "rk")
 
 
+@query("w09_empty_input", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders WHERE o_totalprice < 0")
+def _(t):
+    return W.rank_columns(t.orders.where("o_totalprice < 0"), ["o_orderstatus"], ["o_orderkey"]).select("o_orderkey", "rn")
+
+
 @query("w10_running_sum", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate), 2) AS s FROM orders")
 def _(t):
     return W.add(t.orders, W.over(["o_custkey"], ["o_orderdate"]), s=F.sum("o_totalprice")).select("o_orderkey", F.round("s", 2).alias("s"))
@@ -273,6 +279,13 @@ def _chunked(t):
     return Pipeline(t.lineitem, 7000)
 
 
+@query("b01_pulled_batches", "SELECT n_name, n_regionkey FROM nation WHERE n_nationkey > 4")
+def _(t):
+    # pulled chunk by chunk by the consumer, and made a table again
+    pulled = [r for b in Pipeline(t.nation, 6).filter(c("n_nationkey") > 4).project("n_name", "n_regionkey").batches() for r in b]
+    return X.from_rows(t.spark, pulled, "n_name string, n_regionkey int")
+
+
 @query("b02_chunked_scan", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 48")
 @query("b03_chunked_filter", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 48")
 @query("b08_scan_chunk_mode", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 48")

@@ -150,6 +150,9 @@ def _(t):
 
 @query("c18_rle_aggregates", "SELECT CAST(sum(r_regionkey + 1) AS BIGINT) AS n, CAST(sum(r_regionkey * (r_regionkey + 1)) AS BIGINT) AS total, min(r_regionkey) + 0 AS least, max(r_regionkey) + 0 AS most, sum(r_regionkey * (r_regionkey + 1)) / sum(r_regionkey + 1) AS mean FROM region")
 @query("c19_rle_sum", "SELECT CAST(sum(r_regionkey + 1) AS BIGINT) AS n, CAST(sum(r_regionkey * (r_regionkey + 1)) AS BIGINT) AS total, min(r_regionkey) + 0 AS least, max(r_regionkey) + 0 AS most, sum(r_regionkey * (r_regionkey + 1)) / sum(r_regionkey + 1) AS mean FROM region")
+@query("c20_rle_min_max", "SELECT CAST(sum(r_regionkey + 1) AS BIGINT) AS n, CAST(sum(r_regionkey * (r_regionkey + 1)) AS BIGINT) AS total, min(r_regionkey) + 0 AS least, max(r_regionkey) + 0 AS most, sum(r_regionkey * (r_regionkey + 1)) / sum(r_regionkey + 1) AS mean FROM region")
+@query("c21_rle_mean", "SELECT CAST(sum(r_regionkey + 1) AS BIGINT) AS n, CAST(sum(r_regionkey * (r_regionkey + 1)) AS BIGINT) AS total, min(r_regionkey) + 0 AS least, max(r_regionkey) + 0 AS most, sum(r_regionkey * (r_regionkey + 1)) / sum(r_regionkey + 1) AS mean FROM region")
+@query("a26_rle_aggregates", "SELECT CAST(sum(r_regionkey + 1) AS BIGINT) AS n, CAST(sum(r_regionkey * (r_regionkey + 1)) AS BIGINT) AS total, min(r_regionkey) + 0 AS least, max(r_regionkey) + 0 AS most, sum(r_regionkey * (r_regionkey + 1)) / sum(r_regionkey + 1) AS mean FROM region")
 def _(t):
     # region k stands for a run of k + 1 rows of the value k
     k = c("r_regionkey")

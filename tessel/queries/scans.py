@@ -19,6 +19,8 @@ def _(t):
     return X.scan(t.spark, f"{t.folder}/lineitem.parquet", ["l_orderkey", "l_quantity"], [c("l_quantity") > 45, c("l_returnflag") == "R"])
 
 
+@query("sc16_generic_fetch", "SELECT n_name FROM nation WHERE n_regionkey = 2 ORDER BY n_nationkey LIMIT 3 OFFSET 1")
+@query("sc14_recipe_scan", "SELECT n_name FROM nation WHERE n_regionkey = 2 ORDER BY n_nationkey LIMIT 3 OFFSET 1")
 @query("sc02_table_fetch", "SELECT n_name FROM nation WHERE n_regionkey = 2 ORDER BY n_nationkey LIMIT 3 OFFSET 1")
 def _(t):
     return t.nation.where("n_regionkey = 2").orderBy("n_nationkey").offset(1).limit(3).select("n_name")
@@ -291,6 +293,28 @@ def _(t):
     return t.customer.select("c_custkey", S.text_between(c("c_name"), 10, 9).alias("digits"), S.text_between(c("c_name"), 1, 3).alias("head"))
 
 
+@query("f10_prefix_suffix", "SELECT c_custkey FROM customer WHERE starts_with(c_mktsegment, 'B') OR suffix(c_name, '7')")
+def _(t):
+    return t.customer.where(c("c_mktsegment").startswith("B") | c("c_name").endswith("7")).select("c_custkey")
+
+
+@query("f11_like", "SELECT s_suppkey FROM supplier WHERE s_name LIKE '%_1_' AND s_name NOT LIKE '%11%'")
+@query("f17_like_subset", "SELECT s_suppkey FROM supplier WHERE s_name LIKE '%_1_' AND s_name NOT LIKE '%11%'")
+def _(t):
+    return t.supplier.where(S.like(c("s_name"), "%_1_") & ~S.like(c("s_name"), "%11%")).select("s_suppkey")
+
+
+@query("f14_ordinal", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1 ORDER BY 2 DESC, 1")
+def _(t):
+    t.orders.createOrReplaceTempView("orders")
+    return t.spark.sql("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1 ORDER BY 2 DESC, 1")
+
+
+@query("f18_column_times_constant", "SELECT p_partkey, p_retailprice * 2 AS v FROM part")
+def _(t):
+    return t.part.select("p_partkey", (c("p_retailprice") * 2).alias("v"))
+
+
 @query("f15_error_guard", "SELECT r_regionkey AS k FROM region")
 def _(t):
     return t.region.select(S.guard(c("r_regionkey") >= 0, c("r_regionkey"), "negative key").alias("k"))
