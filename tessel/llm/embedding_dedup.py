@@ -102,7 +102,7 @@ def embedding_links(
             take = np.repeat(np.arange(len(cells)), many)
             other = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             lo, hi = np.minimum(own[take], other), np.maximum(own[take], other)
-            key = (cells[take] << 24) + hi * (hi + 1) // 2 + lo
+            key = (cells[take] << 44) + hi * (hi + 1) // 2 + lo
             for i in range(0, len(take), 5000):
                 rows = pa.array(take[i : i + 5000])
                 side = pa.array((own[take] == hi)[i : i + 5000])
