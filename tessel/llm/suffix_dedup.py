@@ -12,6 +12,7 @@ are merged. Grams with very many surroundings are settled by counting their wind
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -249,37 +250,60 @@ def _settle(surroundings: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _settle_hot(surroundings: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same for grams with very many surroundings: their windows are counted by hash, with counts combined before the shuffle."""
+    """The same for grams with very many surroundings, by counting; counts are combined before each shuffle.
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Windows are told by how many bytes they begin before the gram and come in
+    stripes of neighbours. What a stripe's windows have in common lies within each of them, so
+    only members that share it with another can share one of its windows; those
+    members' windows are then counted one by one.
+    """
+    reach = length - gram
+    stripe = max(1, math.isqrt(reach + 1))
+
+    def windows(left: int, size: int, k: int) -> range:
+        return range(max(k * stripe, left + length - size), min(k * stripe + stripe - 1, reach, left) + 1)
+
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, n, rid, pos, left = (batch.column(k).to_pylist() for k in range(5))
-            out: list[tuple[int, int, int, int]] = []
-            for g, k, r, p, x, piece in zip(grams, n, rid, pos, left, batch.column(5).to_pylist(), strict=True):
-                for s in range(len(piece) - length + 1):
-                    out.append((xxhash.xxh3_64_intdigest(piece[s : s + length], g & 0xFFFFFFFF) - (1 << 63), k, r, p - x + s))
+            out = []
+            for g, rid, pos, left, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for k in range(reach // stripe + 1):
+                    if windows(left, len(piece), k):
+                        shared = piece[left - k * stripe : left - min(k * stripe + stripe - 1, reach) + length]
+                        out.append((xxhash.xxh3_64_intdigest(shared, (g + k) & 0xFFFFFFFF) - (1 << 63), rid, pos, k))
             columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["window", "n", "rid", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "rid", "pos", "k"])
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for g, n, rid, pos, left, piece, stripes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for k in stripes:
+                    for a in windows(left, len(piece), k):
+                        window = piece[left - a : left - a + length]
+                        out.append((xxhash.xxh3_64_intdigest(window, g & 0xFFFFFFFF) - (1 << 63), n, rid, pos - a))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "n", "rid", "start"])
+
+    def repeated(rows: DataFrame, *spot: str) -> DataFrame:
+        return rows.groupBy("key").agg(F.min(F.struct(*spot)).alias("a"), F.max(F.struct(*spot)).alias("b")).where("a <> b").select("key")
 
-    rows = surroundings.select("gram", "n", "rid", "pos", "left", "piece").mapInArrow(windows, "window long, n long, rid long, start long")
-    spot = F.struct("rid", "start")
-    again = rows.groupBy("window").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("window")
-    return rows.where("n = 1").join(again, "window").select("rid", F.col("start").alias("first"), F.col("start").alias("last"))
+    rows = durable(surroundings.select("gram", "rid", "pos", "left", "piece").mapInArrow(common, "key long, rid long, pos long, k long"), "stripes")
+    stripes = rows.join(repeated(rows, "rid", "pos"), "key").groupBy("rid", "pos").agg(F.collect_list("k").alias("stripes"))
+    asked = surroundings.join(stripes, ["rid", "pos"]).select("gram", "n", "rid", "pos", "left", "piece", "stripes")
+    rows = durable(asked.mapInArrow(single, "key long, n long, rid long, start long"), "windows")
+    return rows.where("n = 1").join(repeated(rows, "rid", "start"), "key").select("rid", F.col("start").alias("first"), F.col("start").alias("last"))
 
 
-def _kept(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
-    """Removed bytes, maximal removed runs, and the rest."""
-    out, at, runs = [], 0, 0
-    stop = -1
-    for a, b in sorted(spans):
-        if a > stop:
-            runs += 1
-            out.append(text[at:a])
-        stop = max(stop, b)
-        at = stop
-    out.append(text[at:])
-    rest = b"".join(out)
-    return len(text) - len(rest), runs, rest
+def _kept(text: bytes, first: np.ndarray, last: np.ndarray) -> tuple[int, int, bytes]:
+    """Removed bytes, maximal removed runs, and the rest, from byte ranges with exclusive ends."""
+    order = np.argsort(first)
+    first, reach = first[order], np.maximum.accumulate(last[order])
+    fresh = np.append(True, first[1:] > reach[:-1])
+    begin, end = first[fresh], reach[np.append(fresh[1:], True)]
+    cuts = [0, *np.stack([begin, end], axis=1).ravel().tolist(), len(text)]
+    rest = b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
+    return len(text) - len(rest), len(begin), rest
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, pages: int = BITMAP_PAGES) -> DataFrame:
@@ -318,10 +342,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid, removed, runs, sha, rest = [], [], [], [], []
-            for r, text, spans_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            firsts, lasts = batch.column(2), batch.column(3)
+            edges = firsts.offsets.to_numpy() - firsts.offsets[0].as_py()
+            first, last = (c.flatten().to_numpy(zero_copy_only=False) for c in (firsts, lasts))
+            for r, text, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), edges[:-1], edges[1:], strict=True):
                 data = text.encode("utf-8", "replace")
                 # window starts to bytes; whole surroundings are clipped to the document
-                n, k, left = _kept(data, [(max(0, s["first"]), min(s["last"], len(data) - length) + length) for s in spans_])
+                n, k, left = _kept(data, np.maximum(first[a:b], 0), np.minimum(last[a:b], len(data) - length) + length)
                 rid.append(r)
                 removed.append(n)
                 runs.append(k)
@@ -330,7 +357,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(rest, pa.binary())], names=["rid", "n_removed", "n_spans", "sha", "rest"])
 
     texts = _with_any(docs.select("rid", "text"), spans.select("rid"), pages)
-    changed = texts.join(spans, "rid").select("rid", "text", "spans").mapInArrow(cut, "rid long, n_removed long, n_spans long, sha string, rest binary")
+    changed = texts.join(spans, "rid").select("rid", "text", F.col("spans.first").alias("firsts"), F.col("spans.last").alias("lasts")).mapInArrow(cut, "rid long, n_removed long, n_spans long, sha string, rest binary")
     all_rows = docs.select("rid", "id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole_sha"), *([F.col("text").cast("binary").alias("whole_text")] if keep_text else []))
     out = all_rows.join(changed, "rid", "left")
     return out.select(
