@@ -37,5 +37,15 @@ SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
 FROM g
 """
 
+#: The result of op8 by comparing all pairs, for small tables.
+OP8_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+     l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+     r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+     c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.x = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c ON x = vec_id
+"""
+
 #: The others have no SQL form: tokenizers, iterative links, learned models. tests/llm holds them against brute force.
-ORACLE_SQL = {"op7_warc": OP7_SQL, "op10_exact_dedup": OP10_SQL, "token_counts_words": WORDS_SQL}
+ORACLE_SQL = {"op7_warc": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL, "token_counts_words": WORDS_SQL}
