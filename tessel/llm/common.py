@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 
@@ -51,18 +52,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def durable(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+def durable(df: DataFrame, name: str, narrow: bool = False, files_per_core: int = 0) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the readers nothing, because
     the rows no longer depend on shuffle files or on cached blocks. ``narrow``
     tables hold a few numbers a row; they are written in one file per core
     of the cluster instead of one per shuffle partition, so that rounds over small tables do not make thousands of files.
+    ``files_per_core`` does the same for larger tables.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    if narrow:
-        df = df.coalesce(max(2, spark.sparkContext.defaultParallelism))
+    if narrow or files_per_core:
+        df = df.coalesce(max(2, spark.sparkContext.defaultParallelism * (files_per_core or 1)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -74,3 +76,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def whole_text(column: str = "text"):
     """The text with null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def bounded_sample(df: DataFrame, n: int, *columns: str) -> DataFrame:
+    """At most ``n`` rows, those with the smallest hashes of ``columns``.
+
+    The hash is first held under a bound that lets a few more than ``n`` of the
+    rows pass, so the task that takes the first ``n`` does not get ``n`` from each other task.
+    """
+    total = df.count()
+    share = min(1.0, (n + 6 * math.sqrt(n) + 50) / max(1, total))
+    key = F.xxhash64(*columns)
+    if share < 1:
+        df = df.where(key < F.lit(int(share * 2**64) - 2**63))
+    return df.orderBy(key, *columns).limit(n)

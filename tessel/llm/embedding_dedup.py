@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import bounded_sample, durable, table
 from .components import connected_components
 
 THRESHOLD = 0.95
@@ -74,7 +74,7 @@ def embedding_links(
     # equal vectors are one node: copies make no pairs
     classes = durable(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()), "vector-classes")
     n = classes.count()
-    drawn = classes.orderBy(F.xxhash64("v")).limit(sample).select("v").toPandas()["v"]
+    drawn = bounded_sample(classes.select("v"), sample, "v").toPandas()["v"]
     k = max(1, min(math.ceil(n / cell), len(drawn) // 4 or 1))
     centroids = spherical_kmeans(_unit(np.array([*drawn])), k) if n else np.zeros((1, 1))
     shared = spark.sparkContext.broadcast(centroids)  # at most a quarter of the sample
