@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -25,9 +26,25 @@ def session(master: str | None = None, name: str = "tessel", **settings: str) ->
     return builder.getOrCreate()
 
 
+_schemas: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A Parquet table of a folder; columns and filters used later are pushed into its scan."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A Parquet table of a folder; columns and filters used later are pushed into its scan.
+
+    The schema is read from the files once in an application; the files are
+    listed each time. Call :func:`forget` when a table got other columns.
+    """
+    path = f"{folder}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
+
+
+def forget() -> None:
+    """Read schemas from the files again."""
+    _schemas.clear()
 
 
 def register(spark: SparkSession, folder: str, names: tuple[str, ...] = TABLES) -> None:
