@@ -185,7 +185,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, tokenizer:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         end = END_ID.to_bytes(4, "little")
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             row, out = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 ids = token_bytes(text, tokenizer) + end
@@ -232,7 +232,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
             sequence, offset = hit[:, 3] + within // hit[:, 4], hit[:, 5] + within % hit[:, 4] * length
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    ranked = rows.join(starts, ["part", "length"]).select(id_col, "piece", "start", "length", "ids_crc32", (F.col("local_rank") + F.col("before")).alias("rank"))
+    # the table of starts grows with the input: never sent whole to all tasks
+    ranked = rows.join(starts.hint("merge"), ["part", "length"]).select(id_col, "piece", "start", "length", "ids_crc32", (F.col("local_rank") + F.col("before")).alias("rank"))
     kind = df.schema[id_col].dataType.simpleString()
     return ranked.mapInArrow(place, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, whole_text
+from .common import bounded_sample, table, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents, smallest hashes first, whose base spans the field's weights are fitted to.
@@ -266,8 +266,8 @@ def find_spans(texts: list[str], weights: Weights, threshold: float = THRESHOLD)
 
 
 def fit_on(df: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DOCS) -> Weights:
-    """Weights from the base spans of at most ``train_docs`` texts, those with the smallest hashes."""
-    sample = df.select(whole_text(text_col).alias("text")).where("length(text) > 0").orderBy(F.xxhash64("text")).limit(train_docs)
+    """Weights from the base spans of at most ``train_docs`` rows, those with the smallest hashes."""
+    sample = bounded_sample(df, train_docs, *df.columns).select(whole_text(text_col).alias("text"))
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -26,7 +26,7 @@ DEFAULT_MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: An unknown sign costs this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 200_000
 
 _CHUNKS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 

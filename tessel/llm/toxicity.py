@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_sample, table
 
 #: Labelled rows, smallest id hashes first, that lexicon and model are fitted to.
 TRAIN_ROWS = 20_000
@@ -34,7 +34,7 @@ STEMS = (4, 5, 6, 7, 8)
 FUZZY_LENGTH = 5
 WINDOW = 6
 #: Automaton states and words that a worker process keeps before it starts anew.
-CACHE_STATES, CACHE_WORDS = 100_000, 600_000
+CACHE_STATES, CACHE_WORDS = 50_000, 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _QUOTE = re.compile("[\"“”„«»‘’]")
@@ -205,7 +205,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, train_rows: int) -> DataFrame:
     """``(text, y)`` of the training rows: at most ``train_rows``, so that they can be sent to all executors."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y"))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    rows = bounded_sample(rows, train_rows, "doc_id")
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id").select("text", "y")
 
 
@@ -213,7 +213,7 @@ def learn_lexicon(train: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
     """Words and beginnings that toxic texts have in many different contexts and other texts hardly ever."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 200) for b in batches for at in range(0, b.num_rows, 200)):
             term, y, context = [], [], []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words, seen = _WORD.findall(text.lower()), set()
@@ -275,9 +275,11 @@ def score(df: DataFrame, model: Model, text_col: str = "text", name: str = "scor
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = _Hits(terms)
         for batch in batches:
-            x = np.array([features(t or "", hits) for t in batch.column(place).to_pylist()]).reshape(-1, N_FEATURES)
-            p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, name])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                x = np.array([features(t or "", hits) for t in part.column(place).to_pylist()]).reshape(-1, N_FEATURES)
+                p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], names=[*part.schema.names, name])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInArrow(run, f"{kinds}, `{name}` double")
