@@ -112,7 +112,7 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """``(gram, around, rid, pos)``: each anchor with the hash of its surroundings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             rid = batch.column(0).to_numpy()
             texts = [t.encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
             group: list[int] = []
@@ -288,10 +288,10 @@ def _settle_hot(surroundings: DataFrame, length: int, gram: int) -> DataFrame:
     def repeated(rows: DataFrame, *spot: str) -> DataFrame:
         return rows.groupBy("key").agg(F.min(F.struct(*spot)).alias("a"), F.max(F.struct(*spot)).alias("b")).where("a <> b").select("key")
 
-    rows = durable(surroundings.select("gram", "rid", "pos", "left", "piece").mapInArrow(common, "key long, rid long, pos long, k long"), "stripes")
+    rows = durable(surroundings.select("gram", "rid", "pos", "left", "piece").mapInArrow(common, "key long, rid long, pos long, k long"), "stripes", files_per_core=4)
     stripes = rows.join(repeated(rows, "rid", "pos"), "key").groupBy("rid", "pos").agg(F.collect_list("k").alias("stripes"))
     asked = surroundings.join(stripes, ["rid", "pos"]).select("gram", "n", "rid", "pos", "left", "piece", "stripes")
-    rows = durable(asked.mapInArrow(single, "key long, n long, rid long, start long"), "windows")
+    rows = durable(asked.mapInArrow(single, "key long, n long, rid long, start long"), "windows", files_per_core=4)
     return rows.where("n = 1").join(repeated(rows, "rid", "start"), "key").select("rid", F.col("start").alias("first"), F.col("start").alias("last"))
 
 
@@ -319,9 +319,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     found = durable(_anchor_rows(docs, length, gram), "anchors")
     spot = F.struct("rid", "pos")
-    classes = durable(found.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(spot).alias("at")).select("gram", "around", "n", "at.rid", "at.pos"), "anchor-classes")
+    classes = durable(found.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(spot).alias("at")).select("gram", "around", "n", "at.rid", "at.pos"), "anchor-classes", files_per_core=4)
     various = classes.groupBy("gram").agg(F.count("*").alias("d")).where("d > 1")
-    asked = durable(classes.join(various, "gram").groupBy("rid").agg(F.collect_list(F.struct("gram", "n", "pos", "d")).alias("asked")), "asked")
+    asked = durable(classes.join(various, "gram").groupBy("rid").agg(F.collect_list(F.struct("gram", "n", "pos", "d")).alias("asked")), "asked", files_per_core=4)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -334,10 +334,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 )
 
     texts = _with_any(docs.select("rid", "text"), asked.select("rid"), pages)
-    surroundings = durable(texts.join(asked, "rid").select("rid", "text", "asked").mapInArrow(fetch, "gram long, n long, pos long, d long, rid long, left long, piece binary"), "surroundings")
+    surroundings = durable(texts.join(asked, "rid").select("rid", "text", "asked").mapInArrow(fetch, "gram long, n long, pos long, d long, rid long, left long, piece binary"), "surroundings", files_per_core=4)
     settled = _settle(surroundings.where(F.col("d") <= HOT_GRAM), length, gram).union(_settle_hot(surroundings.where(F.col("d") > HOT_GRAM), length, gram))
     whole = found.join(classes.where("n > 1").select("gram", "around"), ["gram", "around"]).select("rid", (F.col("pos") - (length - gram)).alias("first"), F.col("pos").alias("last"))
-    spans = durable(settled.union(whole).groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
+    spans = durable(settled.union(whole).groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans", files_per_core=4)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
