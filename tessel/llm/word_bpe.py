@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: Chunks (and words) in one of a worker process's two cache generations, which bounds its memory.
-CACHE_CHUNKS = 150_000
+CACHE_CHUNKS = 300_000
 
 _LOWER = "a-zß-öø-įı-ž"
 _UPPER = "A-ZÀ-ÖØ-Þ"
