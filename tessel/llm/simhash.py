@@ -11,7 +11,6 @@ bucket are verified on all bits.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -332,41 +331,11 @@ def _labelled(rows: DataFrame, classes: DataFrame, links: DataFrame, id_col: str
     return rows.join(of.join(least, "c").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
-def similarity_bits(similarity: float) -> float:
-    """The share of bits in which two fingerprints of sets with this Jaccard similarity differ."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+def near_groups_by_similarity(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(id, fp, component_id)`` as :func:`near_groups`, for word shingles and a Jaccard similarity, decided on the sets of shingles."""
+    from .shingle_join import near_groups_by_similarity as by_sets  # which uses this module
 
-
-def near_groups_by_similarity(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.95
-) -> DataFrame:
-    """``(id, fp, component_id)`` as :func:`near_groups`, for word shingles and a Jaccard similarity.
-
-    At 0.8 two fingerprints differ in 15 % of their bits, too many for an exact
-    pigeonhole, so the fingerprint is longer: partitions as wide as the number of
-    rows asks for (2^width is near it, which keeps buckets small at every size)
-    and as many as reach ``recall`` for a pair at the threshold. All thresholds are 0; a pair that meets is
-    verified on all bits against the similarity that their share of equal bits estimates.
-    """
-    n = df.count()
-    p = similarity_bits(similarity)
-    width = max(16, math.ceil(math.log2(n + 1)) - 2)
-    parts = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** width))
-    bits = -(-parts * width // 64) * 64
-    rows = durable(with_fingerprint(df, id_col, text_col, bits, words), "fingerprints")
-    classes = durable(rows.groupBy("fp").agg(F.min(id_col).alias("least")).withColumn("node", F.monotonically_increasing_id()), "classes", narrow=True)
-    groups = [list(range(k * width, (k + 1) * width)) for k in range(parts)]
-    radius = round(p * bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            b = _bits_of(batch.column(1), bits)
-            for i, g in enumerate(groups):
-                key = _mix(_mix(_values(b, g).astype(np.uint64), 1) + np.uint64(i), 1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), batch.column(1)], names=["key", "node", "fp"])
-
-    probes = classes.select("node", "fp").mapInArrow(run, "key long, node long, fp binary")
-    return _labelled(rows, classes, bucket_links(probes, bits, radius), id_col)
+    return by_sets(df, id_col, text_col, words, similarity)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
