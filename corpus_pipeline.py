@@ -11,19 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm import exact_dedup, packing, pii, simhash, toxicity
-from tessel.llm.common import durable, table
+from tessel.llm.common import durable, numbered, table
 
-#: A row's number while a stage decides on it; stable, because stages read written tables.
+#: A row's number while a stage decides on it; the same in each scan.
 ROW = "__tessel_row"
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
-
-
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the numbered rows. Those are written first: if few, they go to all tasks; else Spark shuffles by the row's number."""
-    return _numbered(docs).join(durable(dropped.select(ROW), "dropped", narrow=True), ROW, "left_anti").select(*docs.columns)
+    """Numbered ``docs`` without the numbered rows. Those are written first: if few, they go to all tasks; else Spark shuffles by the row's number."""
+    return docs.join(durable(dropped.select(ROW), "dropped", narrow=True), ROW, "left_anti").drop(ROW)
 
 
 def toxic_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +30,16 @@ def toxic_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays (of repeated rows, one)."""
-    rows = _numbered(docs).select(F.struct("doc_id", ROW).alias("id"), "text")
+    docs = numbered(docs, ROW)
+    rows = docs.select(F.struct("doc_id", ROW).alias("id"), "text")
     dropped = exact_dedup.exact_dedup(rows, id_col="id").where("not kept").select(F.col(f"id.{ROW}").alias(ROW))
     return _without(docs, dropped)
 
 
 def near_copies_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts with a similarity of 0.8 or more (five-word shingles) the row with the smallest doc_id stays."""
-    rows = _numbered(docs).select(F.struct("doc_id", ROW).alias("id"), "text")
+    docs = numbered(docs, ROW)
+    rows = docs.select(F.struct("doc_id", ROW).alias("id"), "text")
     found = simhash.near_groups_by_similarity(rows, id_col="id", words=5, similarity=0.8)
     return _without(docs, found.where("id <> component_id").select(F.col(f"id.{ROW}").alias(ROW)))
 

@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 _roots: dict[str, str] = {}
 
@@ -73,6 +74,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number for each row that every later scan gives again, however Spark splits the files then.
+
+    Rows of a plain Parquet scan are numbered by the place of their file among
+    the scan's files and their own place in it; other tables are written with their numbers.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.child()
+    try:
+        placed = df.withColumns({"__file": F.col("_metadata.file_path"), name: F.col("_metadata.row_index")}) if plan.nodeName() == "LogicalRelation" else None
+    except AnalysisException:  # not Parquet
+        placed = None
+    if placed is None:
+        return durable(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    files = sorted(r[0] for r in placed.select("__file").distinct().collect())
+    if len(files) < 2:
+        return placed.drop("__file")
+    places = df.sparkSession.createDataFrame(list(enumerate(files)), "__place long, __file string")
+    # bounded by the number of files, which the driver lists in any case
+    return placed.join(F.broadcast(places), "__file").withColumn(name, F.shiftleft("__place", 40) + F.col(name)).drop("__file", "__place")
+
+
 def whole_text(column: str = "text"):
     """The text with null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

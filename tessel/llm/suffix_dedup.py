@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table, whole_text
+from .common import durable, numbered, table, whole_text
 from .exact_dedup import BITMAP_PAGES, _flag, _survivor_bitmap
 
 LENGTH = 200
@@ -314,9 +314,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Cases: null, empty and shorter texts - nothing removed; repeated rows - documents that repeat each other;
     null ids - rows like any other; texts of any length are read whole; empty table - no rows; extra columns are ignored.
-    The input must be a scan or otherwise give the same rows per task again.
     """
-    docs = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
+    docs = numbered(df, "__rid").select(F.col("__rid").alias("rid"), F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     found = durable(_anchor_rows(docs, length, gram), "anchors")
     spot = F.struct("rid", "pos")
     classes = durable(found.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(spot).alias("at")).select("gram", "around", "n", "at.rid", "at.pos"), "anchor-classes", files_per_core=4)

@@ -56,9 +56,9 @@ def write_warc(
 
 
 def _between_starts(spark: SparkSession, path: str) -> DataFrame:
-    """What stands between two starts; ``idx`` grows within a split, and is the same each time the files are read."""
+    """What stands between two starts, with its digest. ``block`` and ``idx``, which grows within a split, hold for one reading: another may split the files elsewhere."""
     text = spark.read.option("lineSep", MAGIC).text(path)
-    return text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("idx"))
+    return text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("idx"), F.unhex(F.sha2("value", 256)).alias("key"))
 
 
 def _candidates(spark: SparkSession, path: str, keep_payload: bool) -> DataFrame:
@@ -71,7 +71,7 @@ def _candidates(spark: SparkSession, path: str, keep_payload: bool) -> DataFrame
     whole = F.coalesce(F.col("size") == F.col("head_size") + F.col("content") + len(END), F.lit(False))
     payload = F.substring(F.col("value").cast("binary"), F.col("head_size").cast("int") + 1, F.col("content").cast("int"))
     return parsed.select(
-        "file", "block", "idx", "size", "head_size", "content", whole.alias("whole"),
+        "file", "block", "idx", "key", "size", "head_size", "content", whole.alias("whole"),
         field("WARC-Type").alias("type"), field("WARC-Record-ID").alias("record"), field("WARC-Target-URI").alias("url"), field("WARC-Refers-To").alias("refers"),
         field("WARC-Payload-Digest").alias("digest"), field("WARC-Payload-Length").alias("length"),
         F.when(whole, F.sha1(payload)).alias("sha1"), *([F.when(whole, payload).alias("payload")] if keep_payload else []),
@@ -142,8 +142,10 @@ def read_warc(spark: SparkSession, path: str, keep_payload: bool = False) -> Dat
     # the rest: a start within the payload cut it; its pieces are put together again
     first = lambda c: F.max(F.when(F.col("real"), F.col(c))).alias(c)
     # few, so written first: their size decides whether the second reading is joined by a broadcast or a shuffle
-    pieces = durable(told.where("not (real and whole) and n > 0").select("file", "block", "idx", "n", "off", "real", "head_size", "content", *fields), "cut", narrow=True)
-    pieces = _between_starts(spark, path).join(pieces, ["file", "block", "idx"])
+    pieces = durable(told.where("not (real and whole) and n > 0").select("file", "key", "n", "off", "real", "head_size", "content", *fields), "cut", narrow=True)
+    # found again by what they hold, which no split changes; of equal ones in a file one will do
+    raw = _between_starts(spark, path).select("file", "key", "value").join(pieces.select("file", "key").distinct(), ["file", "key"], "left_semi").dropDuplicates(["file", "key"])
+    pieces = raw.join(pieces, ["file", "key"])
     cut = pieces.groupBy("file", "n").agg(*map(first, [*fields, "head_size", "content"]), F.array_sort(F.collect_list(F.struct("off", F.col("value").alias("raw")))).alias("pieces"))
     whole_raw = F.array_join(F.transform("pieces", lambda p: p["raw"]), MAGIC).cast("binary")
     cut = cut.where("content is not null").withColumn("payload", F.substring(whole_raw, F.col("head_size").cast("int") + 1, F.col("content").cast("int")))
