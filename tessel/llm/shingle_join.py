@@ -25,7 +25,7 @@ from .simhash import _labelled, _mix, shingle_hashes
 
 #: Documents, of which common shingles are learned, and the most shingles that count as common.
 SAMPLE, COMMON = 8_000, 65_536
-SKETCH_BITS = 256
+SKETCH_BITS = 512
 
 
 def _set_of(text: str | None, words: int) -> np.ndarray:
@@ -68,7 +68,7 @@ def _prefix(own: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity:
 
 def _sketches(sets: list[np.ndarray]) -> np.ndarray:
     """The parity of the shingles in each of ``SKETCH_BITS`` cells: sets differ in as many shingles as their sketches in bits, at least."""
-    cell = [(_mix(s, 1) >> np.uint64(56)).astype(np.int64) + SKETCH_BITS * i for i, s in enumerate(sets)]
+    cell = [(_mix(s, 1) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64) + SKETCH_BITS * i for i, s in enumerate(sets)]
     counts = np.bincount(np.concatenate(cell), minlength=SKETCH_BITS * len(sets)).reshape(len(sets), SKETCH_BITS)
     return np.packbits((counts & 1).astype(bool), axis=1)
 
@@ -139,8 +139,18 @@ def _first_pairs(shared: DataFrame, similarity: Fraction) -> DataFrame:
     return _bucketed(shared, emit, "a long, b long").distinct()
 
 
-def _other_pairs(shared: DataFrame, similarity: Fraction) -> DataFrame:
-    """All pairs of a bucket that no links connect yet and that sizes and sketches leave possible."""
+def _possible(pairs: DataFrame, nodes: DataFrame, similarity: Fraction) -> DataFrame:
+    """The pairs that sizes and sketches leave possible."""
+    p, q = similarity.numerator, similarity.denominator
+    word = lambda side, k: F.conv(F.hex(F.substring(f"{side}.sketch", 8 * k + 1, 8)), 16, -10).cast("long")
+    apart = sum((F.bit_count(word("x", k).bitwiseXOR(word("y", k))) for k in range(SKETCH_BITS // 64)), F.lit(0))
+    side = nodes.select("node", F.struct("size", "sketch").alias("s"))
+    both = pairs.join(side.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(side.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    return both.where((p + q) * apart <= (q - p) * (F.col("x.size") + F.col("y.size"))).select("a", "b")
+
+
+def _other_pairs(shared: DataFrame, similarity: Fraction, once: bool) -> DataFrame:
+    """All pairs of a bucket that no links connect yet and that sizes and sketches leave possible; ``once``: of each member the nearest."""
     p, q = similarity.numerator, similarity.denominator
 
     def emit(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -157,6 +167,7 @@ def _other_pairs(shared: DataFrame, similarity: Fraction) -> DataFrame:
             i = i[(p + q) * apart <= (q - p) * (size[i] + size[i + step])]
             if len(i):
                 yield _pairs(node[i], node[i + step])
+                at = np.setdiff1d(at, i, assume_unique=True) if once else at
             step += 1
 
     return _bucketed(shared, emit, "a long, b long").distinct()
@@ -169,9 +180,9 @@ def near_groups_by_similarity(df: DataFrame, id_col: str = "doc_id", text_col: s
     them and no others, at any number of rows; ``component_id`` is the smallest id that links reach.
     Sets are of 64-bit hashes; equal sets are one node.
 
-    Two rounds keep a large group of near copies from making all its pairs: the
-    first verifies at most two pairs per member of a bucket, the second those pairs
-    of a bucket that the links of the first do not connect.
+    Rounds keep a large group of near copies from making all its pairs: the first
+    verifies at most two pairs per member of a bucket, the second one that the links
+    so far do not connect, the last all that the links of both do not connect.
 
     Cases: as :func:`tessel.llm.simhash.near_groups`; texts without words have equal, empty sets.
     """
@@ -216,12 +227,16 @@ def near_groups_by_similarity(df: DataFrame, id_col: str = "doc_id", text_col: s
         counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("n"), (F.size("x") + F.size("y")).cast("long").alias("total"))
         return durable(counted.where(F.col("n") * wanted.denominator >= (F.col("total") - F.col("n")) * wanted.numerator).select("a", "b"), "similar", narrow=True)
 
-    first = durable(_first_pairs(shared, wanted), "pairs", narrow=True)
-    links = verified(first)
-    placed = shared.join(connected_components(links), "node", "left").select("token", "size", "node", F.coalesce("component", "node").alias("component"))
-    placed = durable(placed, "placed", files_per_core=4)
-    open_ = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    apart = placed.join(open_, "token").join(nodes.select("node", "sketch"), "node").select("token", "size", "node", "component", "sketch")
-    other = durable(_other_pairs(apart, wanted).join(first, ["a", "b"], "left_anti"), "pairs", narrow=True)
-    links = links.union(verified(other))
+    def apart(links: DataFrame) -> DataFrame:
+        """The shared probes of buckets that links do not connect, with component and sketch."""
+        placed = shared.join(connected_components(links), "node", "left").select("token", "size", "node", F.coalesce("component", "node").alias("component"))
+        placed = durable(placed, "placed", files_per_core=4)
+        open_ = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+        return placed.join(open_, "token").join(nodes.select("node", "sketch"), "node").select("token", "size", "node", "component", "sketch")
+
+    first = durable(_possible(_first_pairs(shared, wanted), nodes, wanted), "pairs", narrow=True)
+    links, tried = verified(first), first
+    for once in (True, False):
+        other = durable(_other_pairs(apart(links), wanted, once).join(tried, ["a", "b"], "left_anti"), "pairs", narrow=True)
+        links, tried = links.union(verified(other)), tried.union(other)
     return _labelled(rows.withColumnRenamed("id", id_col), classes.select("fp", "node", "least"), links, id_col)
