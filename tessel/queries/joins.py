@@ -183,6 +183,12 @@ def _(t):
     return J.range_join(t.part.select("p_partkey", "p_retailprice"), r, "p_retailprice", "lo", "hi", 4).select("o_orderkey", "p_partkey")
 
 
+@query("j27_range_join_whole", "SELECT o_orderkey, p_partkey FROM orders JOIN part ON p_retailprice BETWEEN o_totalprice / 100 - 1 AND o_totalprice / 100 + 1")
+def _(t):
+    r = t.orders.select("o_orderkey", (c("o_totalprice") / 100 - 1).alias("lo"), (c("o_totalprice") / 100 + 1).alias("hi"))
+    return J.range_join(t.part.select("p_partkey", "p_retailprice"), r, "p_retailprice", "lo", "hi", 4).select("o_orderkey", "p_partkey")
+
+
 @query("j27_asof_join", "SELECT a.event_id, (SELECT max_by(b.value, (b.ts, b.value)) FROM events b WHERE b.event_type = 'purchase' AND b.user_id = a.user_id AND b.ts <= a.ts) AS last_purchase FROM events a WHERE a.event_type = 'error'")
 def _(t):
     left = t.events.where("event_type = 'error'").select("event_id", "user_id", "ts")
