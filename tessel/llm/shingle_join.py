@@ -1,6 +1,9 @@
-"""Near-dedup by the exact Jaccard similarity of shingle sets: prefix filter, exact verification, components.
+"""Near-dedup by the exact Jaccard similarity of shingle sets: SimHash probes, prefix filter, exact verification, components.
 
-All shingles get one order, the ones that are common in a sample last. Of two
+Fingerprints that probes of :mod:`tessel.llm.simhash` bring together are the first
+candidates; they connect most groups of near copies. What they miss - at a similarity of 0.8
+fingerprints differ in some 15 % of their bits, which no pigeonhole affords - the prefix filter finds: all
+shingles get one order, the ones that are common in a sample last. Of two
 sets as similar as asked for, each one's first ``size - ceil(similarity * size) + 1``
 shingles in that order have one in common, so buckets by these shingles hold every
 pair that is to be found; the order, and so the sample, only decides how full the
@@ -18,13 +21,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, whole_text
+from .common import durable, numbered, whole_text
 from .components import connected_components
 from .exact_dedup import BITMAP_PAGES, _flag, _survivor_bitmap
-from .simhash import _labelled, _mix, shingle_hashes
+from .simhash import _labelled, _mix, bucket_links, fingerprints_of, plan_probes, probe_rows, shingle_hashes
 
 #: Documents, of which common shingles are learned, and the most shingles that count as common.
 SAMPLE, COMMON = 8_000, 65_536
+#: Fingerprints and probes of the first candidates.
+BITS, RADIUS, PARTS = 64, 3, 4
+#: Bits of the sketches that travel with probes. Those that pairs are held against have at least twice as many bits as their set has shingles.
 SKETCH_BITS = 512
 
 
@@ -42,10 +48,10 @@ def common_shingles(df: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["token"])
 
     total = df.count()
-    sample = df.select("text")
+    sample = df.select("text", "rid")
     if total > SAMPLE:
-        sample = sample.where(F.xxhash64("text") < F.lit(int(SAMPLE / total * 2**64) - 2**63))
-    seen = sample.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 2")
+        sample = sample.where(F.xxhash64("rid") < F.lit(int(SAMPLE / total * 2**64) - 2**63))
+    seen = sample.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 2")
     top = seen.orderBy(F.desc("n"), "token").limit(COMMON).toPandas()
     token, n = top["token"].to_numpy(dtype=np.int64).view(np.uint64), top["n"].to_numpy(dtype=np.int64)
     rank = np.empty(len(n), dtype=np.int64)
@@ -66,11 +72,20 @@ def _prefix(own: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity:
     return np.concatenate([rare, own[hot][np.argsort(ranks[at[hot]])][: n - len(rare)]])
 
 
-def _sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """The parity of the shingles in each of ``SKETCH_BITS`` cells: sets differ in as many shingles as their sketches in bits, at least."""
-    cell = [(_mix(s, 1) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64) + SKETCH_BITS * i for i, s in enumerate(sets)]
-    counts = np.bincount(np.concatenate(cell), minlength=SKETCH_BITS * len(sets)).reshape(len(sets), SKETCH_BITS)
-    return np.packbits((counts & 1).astype(bool), axis=1)
+def _sketch(own: np.ndarray) -> np.ndarray:
+    """The parity of the shingles in each cell, as bytes: sets differ in as many shingles as their sketches in bits, at least.
+
+    The number of cells is a power of two; the two halves of a sketch, one upon the other, make the sketch of half as many.
+    """
+    cells = max(SKETCH_BITS, 1 << (2 * len(own) - 1).bit_length()) if len(own) else SKETCH_BITS
+    counts = np.bincount((_mix(own, 1) & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((counts & 1).astype(bool), bitorder="little")
+
+
+def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    while len(sketch) > size:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -122,31 +137,33 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
 
-def _first_pairs(shared: DataFrame, similarity: Fraction) -> DataFrame:
-    """Each member with the one before it and with the first of its sizes: at most two pairs a member, which link most of a large group."""
+def _possible(pairs: DataFrame, nodes: DataFrame, similarity: Fraction) -> DataFrame:
+    """The pairs that sizes and sketches leave possible."""
     p, q = similarity.numerator, similarity.denominator
 
-    def emit(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        token, size, node = (rows.column(k).to_numpy() for k in range(3))
-        at = np.flatnonzero((token[1:] == token[:-1]) & (q * size[:-1] >= p * size[1:])) + 1
-        head, heads = 0, np.zeros(len(at), dtype=np.int64)
-        for k, i in enumerate(at.tolist()):
-            if token[head] != token[i] or q * size[head] < p * size[i]:
-                head = i - 1
-            heads[k] = head
-        yield _pairs(np.append(node[at], node[at]), np.append(node[at - 1], node[heads]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for size, x, y in zip((batch.column(2).to_numpy() + batch.column(3).to_numpy()).tolist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                x, y = (np.frombuffer(s, dtype=np.uint8) for s in (x, y))
+                n = min(len(x), len(y))
+                apart = int(np.bitwise_count((_folded(x, n) ^ _folded(y, n)).view(np.uint64)).sum())
+                keep.append((p + q) * apart <= (q - p) * size)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return _bucketed(shared, emit, "a long, b long").distinct()
+    side = nodes.select("node", "size", "sketch")
+    both = pairs.join(side.toDF("a", "m", "x"), "a").join(side.toDF("b", "n", "y"), "b")
+    fits = (F.col("m") * q >= F.col("n") * p) & (F.col("n") * q >= F.col("m") * p)
+    return both.where(fits).select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _possible(pairs: DataFrame, nodes: DataFrame, similarity: Fraction) -> DataFrame:
-    """The pairs that sizes and sketches leave possible."""
-    p, q = similarity.numerator, similarity.denominator
-    word = lambda side, k: F.conv(F.hex(F.substring(f"{side}.sketch", 8 * k + 1, 8)), 16, -10).cast("long")
-    apart = sum((F.bit_count(word("x", k).bitwiseXOR(word("y", k))) for k in range(SKETCH_BITS // 64)), F.lit(0))
-    side = nodes.select("node", F.struct("size", "sketch").alias("s"))
-    both = pairs.join(side.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(side.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    return both.where((p + q) * apart <= (q - p) * (F.col("x.size") + F.col("y.size"))).select("a", "b")
+def _probed_pairs(nodes: DataFrame) -> DataFrame:
+    """The candidates of SimHash probes: a forest per bucket, and each node of a fingerprint with the first that has it."""
+    prints = durable(nodes.groupBy("print").agg(F.min("node").alias("node")).withColumnRenamed("print", "fp"), "prints", narrow=True)
+    equal = nodes.join(prints.select(F.col("fp").alias("print"), F.col("node").alias("a")), "print").where("a <> node").select("a", F.col("node").alias("b"))
+    groups, thresholds, hot = plan_probes(prints, BITS, RADIUS, PARTS)
+    links = bucket_links(probe_rows(prints, BITS, groups, thresholds, hot, RADIUS), BITS, RADIUS)
+    return equal.union(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
 def _other_pairs(shared: DataFrame, similarity: Fraction, once: bool) -> DataFrame:
@@ -173,7 +190,9 @@ def _other_pairs(shared: DataFrame, similarity: Fraction, once: bool) -> DataFra
     return _bucketed(shared, emit, "a long, b long").distinct()
 
 
-def near_groups_by_similarity(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_groups_by_similarity(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, row_col: str | None = None
+) -> DataFrame:
     """``(id, fp, component_id)``, one row per input row; fp is a hash of the row's set of shingles.
 
     Rows whose sets have a Jaccard similarity of ``similarity`` or more are linked, all of
@@ -181,34 +200,39 @@ def near_groups_by_similarity(df: DataFrame, id_col: str = "doc_id", text_col: s
     Sets are of 64-bit hashes; equal sets are one node.
 
     Rounds keep a large group of near copies from making all its pairs: the first
-    verifies at most two pairs per member of a bucket, the second one that the links
-    so far do not connect, the last all that the links of both do not connect.
+    verifies what SimHash probes link, at most one pair per member of a bucket; the second, of each member of a bucket of the
+    prefix filter, one pair that the links so far do not connect; the last all that the links of both do not connect.
 
-    Cases: as :func:`tessel.llm.simhash.near_groups`; texts without words have equal, empty sets.
+    Cases: as :func:`tessel.llm.simhash.near_groups`; texts without words have equal, empty sets. ``row_col``
+    names a number of each row that later scans give again; without it rows are numbered first.
     """
     wanted = Fraction(str(similarity))
-    docs = df.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
+    placed = numbered(df, "__rid") if row_col is None else df.withColumn("__rid", F.col(row_col))
+    docs = placed.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"), F.col("__rid").alias("rid"))
     common = common_shingles(docs, words)
     kind = docs.schema["id"].dataType.simpleString()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = [_set_of(t, words) for t in part.column(1).to_pylist()]
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                hashes = [shingle_hashes(t, words) for t in part.column(1).to_pylist()]
+                prints = fingerprints_of(hashes, BITS)
+                sets = [np.unique(np.array(h, dtype=np.uint64)) for h in hashes]
+                del hashes
                 columns = [part.column(0), part.column(2), pa.array(map(_fp, sets), pa.binary()), pa.array([len(s) for s in sets], pa.int64())]
-                columns += [_lists([_prefix(s, common, wanted) for s in sets]), pa.array([r.tobytes() for r in _sketches(sets)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "source", "fp", "size", "prefix", "sketch"])
+                sketches = [_sketch(s) for s in sets]
+                short = [_folded(x, SKETCH_BITS // 8).tobytes() for x in sketches]
+                columns += [_lists([_prefix(s, common, wanted) for s in sets]), *(pa.array(c, pa.binary()) for c in ([x.tobytes() for x in sketches], short, prints))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "rid", "fp", "size", "prefix", "sketch", "short", "print"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                sets = [_set_of(t, words) for t in batch.column(0).slice(at, 500).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(map(_fp, sets), pa.binary()), _lists(sets)], names=["fp", "shingles"])
+            for at in range(0, batch.num_rows, 200):
+                sets = [_set_of(t, words) for t in batch.column(1).slice(at, 200).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 200), _lists(sets)], names=["node", "shingles"])
 
-    source = F.xxhash64("text")
-    described = docs.select("id", "text", source.alias("source")).mapInArrow(describe, f"id {kind}, source long, fp binary, size long, prefix array<long>, sketch binary")
-    rows = durable(described.withColumn("rid", F.monotonically_increasing_id()), "sets")
+    rows = durable(docs.select("id", "text", "rid").mapInArrow(describe, f"id {kind}, rid long, fp binary, size long, prefix array<long>, sketch binary, short binary, print binary"), "sets")
     classes = durable(rows.groupBy("fp").agg(F.min("id").alias("least"), F.min("rid").alias("node"), F.count("*").alias("n")), "classes", narrow=True)
     again = durable(rows.join(classes.where("n > 1").select("fp", "node"), "fp").where("rid <> node").select("rid"), "again", narrow=True)
     nodes = rows.join(again, "rid", "left_anti").withColumnRenamed("rid", "node")
@@ -216,27 +240,26 @@ def near_groups_by_similarity(df: DataFrame, id_col: str = "doc_id", text_col: s
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that are as similar as asked for, by the shingles of both; only texts of such pairs are hashed again."""
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        asked = durable(asked.join(nodes.select("node", "fp", "source"), "node"), "asked", narrow=True)
-        bitmap = durable(_survivor_bitmap(asked.select("source"), "source", BITMAP_PAGES), "sources", narrow=True)
-        texts = _flag(docs.select("text"), source, bitmap, BITMAP_PAGES, "__any").where("__any").select("text")
-        # rows with equal sets give the set again: one is enough
-        sets = texts.mapInArrow(whole, "fp binary, shingles array<long>").join(asked.select("fp", "node"), "fp").dropDuplicates(["node"])
-        sets = durable(sets.select("node", "shingles"), "asked-sets", files_per_core=4)
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().select(F.xxhash64("node").alias("k"))
+        bitmap = durable(_survivor_bitmap(asked, "k", BITMAP_PAGES), "asked", narrow=True)
+        # a row that shares an asked one's bit gives a set that no pair asks for
+        texts = _flag(docs.select("rid", "text"), F.xxhash64("rid"), bitmap, BITMAP_PAGES, "__any").where("__any").select("rid", "text")
+        sets = durable(texts.mapInArrow(whole, "node long, shingles array<long>"), "asked-sets", files_per_core=4)
+        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("n"), (F.size("x") + F.size("y")).cast("long").alias("total"))
         return durable(counted.where(F.col("n") * wanted.denominator >= (F.col("total") - F.col("n")) * wanted.numerator).select("a", "b"), "similar", narrow=True)
 
     def apart(links: DataFrame) -> DataFrame:
-        """The shared probes of buckets that links do not connect, with component and sketch."""
+        """The shared probes of buckets that links do not connect, with component and a short sketch."""
         placed = shared.join(connected_components(links), "node", "left").select("token", "size", "node", F.coalesce("component", "node").alias("component"))
         placed = durable(placed, "placed", files_per_core=4)
         open_ = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-        return placed.join(open_, "token").join(nodes.select("node", "sketch"), "node").select("token", "size", "node", "component", "sketch")
+        return placed.join(open_, "token").join(nodes.select("node", F.col("short").alias("sketch")), "node").select("token", "size", "node", "component", "sketch")
 
-    first = durable(_possible(_first_pairs(shared, wanted), nodes, wanted), "pairs", narrow=True)
+    first = durable(_possible(_probed_pairs(nodes), nodes, wanted), "pairs", narrow=True)
     links, tried = verified(first), first
     for once in (True, False):
-        other = durable(_other_pairs(apart(links), wanted, once).join(tried, ["a", "b"], "left_anti"), "pairs", narrow=True)
+        other = _other_pairs(apart(links), wanted, once).join(tried, ["a", "b"], "left_anti")
+        other = durable(_possible(other, nodes, wanted), "pairs", narrow=True)
         links, tried = links.union(verified(other)), tried.union(other)
     return _labelled(rows.withColumnRenamed("id", id_col), classes.select("fp", "node", "least"), links, id_col)

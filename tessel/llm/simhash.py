@@ -68,9 +68,8 @@ def _majorities(hashes: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray
     return out
 
 
-def fingerprints(texts: list[str | None], bits: int, words: int) -> list[bytes]:
-    """Big-endian fingerprints; texts without words get zero."""
-    got = [shingle_hashes(t or "", words) for t in texts]
+def fingerprints_of(got: list[list[int]], bits: int) -> list[bytes]:
+    """Big-endian fingerprints of some documents' shingle hashes; documents without words get zero."""
     out = [bytes(bits // 8)] * len(got)
     full = [i for i, h in enumerate(got) if h]
     # a few million hashes at a time bound the memory
@@ -82,7 +81,7 @@ def fingerprints(texts: list[str | None], bits: int, words: int) -> list[bytes]:
                 hashes = np.fromiter((x for j in batch for x in got[j]), dtype=np.uint64, count=size)
                 packed = np.packbits(_majorities(hashes, counts, bits), axis=1, bitorder="little")[:, ::-1]
                 for j, row in zip(batch, packed, strict=True):
-                    out[j], got[j] = row.tobytes(), []
+                    out[j] = row.tobytes()
             batch, size = [], 0
         if i is not None:
             batch.append(i)
@@ -90,13 +89,18 @@ def fingerprints(texts: list[str | None], bits: int, words: int) -> list[bytes]:
     return out
 
 
+def fingerprints(texts: list[str | None], bits: int, words: int) -> list[bytes]:
+    """Big-endian fingerprints; texts without words get zero."""
+    return fingerprints_of([shingle_hashes(t or "", words) for t in texts], bits)
+
+
 def with_fingerprint(df: DataFrame, id_col: str, text_col: str, bits: int, words: int) -> DataFrame:
     """``(id, fp)`` per row, fp binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 fps = fingerprints(part.column(1).to_pylist(), bits, words)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.binary())], names=[id_col, "fp"])
 
@@ -331,11 +335,14 @@ def _labelled(rows: DataFrame, classes: DataFrame, links: DataFrame, id_col: str
     return rows.join(of.join(least, "c").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
-def near_groups_by_similarity(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(id, fp, component_id)`` as :func:`near_groups`, for word shingles and a Jaccard similarity, decided on the sets of shingles."""
+def near_groups_by_similarity(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, row_col: str | None = None) -> DataFrame:
+    """``(id, fp, component_id)`` as :func:`near_groups`, for word shingles and a Jaccard similarity, decided on the sets of shingles.
+
+    Cases: as :func:`near_groups`. ``row_col`` names a number of each row that later scans give again, if there is one.
+    """
     from .shingle_join import near_groups_by_similarity as by_sets  # which uses this module
 
-    return by_sets(df, id_col, text_col, words, similarity)
+    return by_sets(df, id_col, text_col, words, similarity, row_col)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

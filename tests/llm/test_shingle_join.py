@@ -86,5 +86,7 @@ def test_prefixes_and_sketches():
         x, y = (shingle_join._prefix(s, common, Fraction(4, 5)) for s in (a, b))
         both = len(np.intersect1d(a, b))
         assert 5 * both < 4 * (len(a) + len(b) - both) or np.intersect1d(x, y).size
-        sketch = shingle_join._sketches([a, b])
-        assert np.bitwise_count(sketch[0] ^ sketch[1]).sum() <= len(a) + len(b) - 2 * both
+        for size in (len(shingle_join._sketch(b)), shingle_join.SKETCH_BITS // 8):
+            sketch = [shingle_join._folded(shingle_join._sketch(x), size) for x in (a, b)]
+            m = min(map(len, sketch))
+            assert np.bitwise_count(shingle_join._folded(sketch[0], m) ^ shingle_join._folded(sketch[1], m)).sum() <= len(a) + len(b) - 2 * both
