@@ -40,7 +40,7 @@ def near_copies_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Of each group of texts with a similarity of 0.8 or more (five-word shingles) the row with the smallest doc_id stays."""
     docs = numbered(docs, ROW)
     rows = docs.select(F.struct("doc_id", ROW).alias("id"), "text")
-    found = simhash.near_groups_by_similarity(rows, id_col="id", words=5, similarity=0.8)
+    found = simhash.near_groups_by_similarity(rows.withColumn("row", F.col(f"id.{ROW}")), id_col="id", words=5, similarity=0.8, row_col="row")
     return _without(docs, found.where("id <> component_id").select(F.col(f"id.{ROW}").alias(ROW)))
 
 
