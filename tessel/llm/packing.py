@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import durable, table
-from .word_bpe import token_bytes
+from .word_bpe import forget, token_bytes
 
 CAPACITY = 4096
 #: The id after each document.
@@ -198,6 +198,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, tokenizer:
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[id_col, "piece", "start", "length", "ids_crc32", "part", "local_rank"])
+        forget()
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, part long, local_rank long"

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, table
-from .word_bpe import token_bytes
+from .word_bpe import forget, token_bytes
 
 KEYS = ("source", "lang", "version")
 MEASURES = ("docs", "tokens", "chars")
@@ -32,6 +32,7 @@ def bpe_counter(path: str | None = None) -> Callable[[DataFrame], DataFrame]:
                 n = [len(token_bytes(t, path)) // 4 for t in batch.column(place).to_pylist()]
                 kept = [i for i in range(batch.num_columns) if i != place]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(n, pa.int64())], names=[*(batch.schema.names[i] for i in kept), "tokens"])
+            forget()
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "text")
         return df.mapInArrow(run, f"{kinds}, tokens long")

@@ -34,7 +34,7 @@ STEMS = (4, 5, 6, 7, 8)
 FUZZY_LENGTH = 5
 WINDOW = 6
 #: Automaton states and words that a worker process keeps before it starts anew.
-CACHE_STATES, CACHE_WORDS = 50_000, 200_000
+CACHE_STATES, CACHE_WORDS = 20_000, 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _QUOTE = re.compile("[\"“”„«»‘’]")

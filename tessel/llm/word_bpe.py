@@ -17,8 +17,10 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
-#: Chunks (and words) in one of a worker process's two cache generations, which bounds its memory.
-CACHE_CHUNKS = 300_000
+#: Bytes, by estimate, of one of a worker process's two generations of cached chunks, and of its cached words.
+CACHE_BYTES = 64_000_000
+#: What an entry takes beside its letters and ids: two objects and its place in the table.
+_ENTRY = 200
 
 _LOWER = "a-zß-öø-įı-ž"
 _UPPER = "A-ZÀ-ÖØ-Þ"
@@ -54,8 +56,13 @@ class _Chunks(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = self.held_words = 0
 
     def whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -63,14 +70,17 @@ class _Chunks(dict):
     def word(self, w: str) -> bytes:
         named = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES)
         found = self.words[w] = _packed([t.id for t in self.model.tokenize(named)])
+        self.held_words += _ENTRY + len(w) + len(found)
         return found
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE_CHUNKS:
+        if self.held >= CACHE_BYTES:
             self.old = dict(self)
             self.clear()
-        if len(self.words) >= CACHE_CHUNKS:
+            self.held = 0
+        if self.held_words >= CACHE_BYTES:
             self.words.clear()
+            self.held_words = 0
         found = self.old.get(chunk)
         if found is not None:
             pass
@@ -81,6 +91,7 @@ class _Chunks(dict):
             found = self.whole(chunk)
         if len(chunk) < 200:
             self[chunk] = found
+            self.held += _ENTRY + len(chunk) + len(found)
         return found
 
 
@@ -97,3 +108,9 @@ def token_bytes(text: str | None, path: str | None = None) -> bytes:
     if "<|" in text or _ODD_SPACE.search(text):
         return chunks.whole(text)
     return b"".join(map(chunks.__getitem__, text.split()))
+
+
+def forget() -> None:
+    """Empty this process's caches; tasks do so when they end, for the next ones need not be of this kind."""
+    if _chunks.cache_info().currsize:
+        _chunks.cache_clear()
