@@ -5,8 +5,9 @@ that equal windows hold equal anchors at equal places. Anchors of one gram with
 surroundings repeat whole and are counted, not compared. Only where a gram has
 different surroundings does it matter how far they agree: there a logarithmic family of
 suffix arrays takes the surroundings batch by batch. Each new batch is sorted by
-suffix, merge-scanned against the existing levels for matches of full length, and levels of equal size
-are merged. Grams with very many surroundings are settled by counting their windows.
+suffix (and by what stands before, read backwards), merge-scanned against the existing levels for matches of full
+length, which the common prefixes of neighbours tell, and levels of equal size are merged. A gram with more surroundings than
+one task should hold is dealt out by windows, which are counted.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from .exact_dedup import BITMAP_PAGES, _flag, _survivor_bitmap
 
 LENGTH = 200
 GRAM = 32
-#: A gram with more different surroundings than this is settled by counting windows.
-HOT_GRAM = 256
+#: A gram with more different surroundings than this, some 16 MB of them, is dealt out by windows instead of meeting in one task.
+HOT_GRAM = 16_384
+#: Members that a suffix array starts with.
+BATCH_MEMBERS = 16_384
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BATCH_BYTES = 2_000_000
 _INDEX_BITS = 24
@@ -139,73 +142,104 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.select("rid", "text").mapInArrow(run, "gram long, around long, rid long, pos long")
 
 
+def _order(keys: np.ndarray) -> np.ndarray:
+    """The rows' order by their bytes; runs in order are merged, not sorted again."""
+    return np.argsort(np.ascontiguousarray(keys).view(f"S{keys.shape[1]}").ravel(), kind="stable")
+
+
+def _agreement(keys: np.ndarray) -> np.ndarray:
+    """How many first bytes each row has in common with the row before; -1 for the first."""
+    out = np.full(len(keys), -1, dtype=np.int64)
+    for at in range(1, len(keys), 20_000):
+        unlike = keys[at : at + 20_000] != keys[at - 1 : at - 1 + len(keys[at : at + 20_000])]
+        out[at : at + 20_000] = np.where(unlike.any(1), unlike.argmax(1), keys.shape[1])
+    return out
+
+
 class SuffixLevels:
     """A logarithmic family of sorted suffix arrays over surroundings.
 
-    ``before`` and ``after`` hold, for each member, the bytes before its gram read
-    backwards, and those from the gram's end on, with their lengths. A level is sorted by gram and then by
-    suffix. ``cover[i, a]`` counts partners of member i whose window that begins ``a`` bytes before the gram is equal.
+    ``after`` holds, for each member, its gram's hash and the bytes from the gram
+    on, ``before`` the hash and the bytes before the gram read backwards; ``sizes`` how many of them there are. A
+    level is a set of members in the order of either. ``repeated[i, a]``: the window of member
+    i that begins ``a`` bytes before the gram is another member's too.
     """
 
     def __init__(self, length: int = LENGTH, gram: int = GRAM):
-        self.reach = length - gram
-        self.before = np.zeros((0, self.reach), dtype=np.uint8)
-        self.after = np.zeros((0, self.reach), dtype=np.uint8)
+        self.reach, self.tag, self.gram = length - gram, 8, gram
+        self.before = np.zeros((0, self.tag + self.reach), dtype=np.uint8)
+        self.after = np.zeros((0, self.tag + length), dtype=np.uint8)
         self.sizes = np.zeros((0, 2), dtype=np.int64)
-        self.gram = np.zeros(0, dtype=np.int64)
-        self.steps = np.zeros((0, self.reach + 2), dtype=np.int32)
-        self.levels: list[np.ndarray] = []
-
-    def _sorted(self, members: np.ndarray) -> np.ndarray:
-        suffix = np.ascontiguousarray(self.after[members]).view(f"S{self.reach}").ravel()
-        return members[np.lexsort((suffix, self.gram[members]))]
+        self.hash = np.zeros(0, dtype=np.int64)
+        self.repeated = np.zeros((0, self.reach + 1), dtype=bool)
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, gram: np.ndarray, before: np.ndarray, after: np.ndarray, sizes: np.ndarray) -> None:
-        first = len(self.gram)
-        self.gram = np.concatenate([self.gram, gram])
-        self.before, self.after = np.concatenate([self.before, before]), np.concatenate([self.after, after])
+        """Take a batch: bytes before each gram read backwards, bytes from it on, and how many of both, without the gram's."""
+        first = len(self.hash)
+        tag = gram.astype(">i8").view(np.uint8).reshape(-1, self.tag)
+        self.hash = np.concatenate([self.hash, gram])
+        self.before = np.concatenate([self.before, np.concatenate([tag, before], axis=1)])
+        self.after = np.concatenate([self.after, np.concatenate([tag, after], axis=1)])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.steps = np.concatenate([self.steps, np.zeros((len(gram), self.reach + 2), dtype=np.int32)])
-        new = self._sorted(np.arange(first, first + len(gram)))
-        self._scan(new, new)
-        for level in self.levels:
-            self._scan(new, level)
+        self.repeated = np.concatenate([self.repeated, np.zeros((len(gram), self.reach + 1), dtype=bool)])
+        fresh = np.arange(first, first + len(gram))
+        new = self._level(fresh, fresh)
+        self._scan(*new)
+        grams = np.unique(gram)
+        for right, left in self.levels:
+            met = [side[np.isin(self.hash[side], grams)] for side in (right, left)]
+            if len(met[0]):
+                seen = np.isin(gram, self.hash[met[0]])
+                self._scan(*self._level(*(np.concatenate([old, own[seen[own - first]]]) for old, own in zip(met, new, strict=True))))
         self.levels.append(new)
-        while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
-            merged = np.concatenate([self.levels.pop(), self.levels.pop()])
-            self.levels.append(self._sorted(merged))
-
-    def _scan(self, new: np.ndarray, level: np.ndarray) -> None:
-        """Walk two sorted arrays side by side; members of one gram are compared both ways from it."""
-        lo, hi = (np.searchsorted(self.gram[level], self.gram[new], side) for side in ("left", "right"))
-        if new is level:
-            lo = np.arange(len(new)) + 1
-        many = np.maximum(hi - lo, 0)
-        ends = np.cumsum(many)
-        start = 0
-        while start < len(new):  # some 20,000 pairs at a time
-            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 20_000, "right")))
-            n = many[start:stop]
-            if total := int(n.sum()):
-                offset = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-                self._match(np.repeat(new[start:stop], n), level[np.repeat(lo[start:stop], n) + offset])
-            start = stop
-
-    def _match(self, a: np.ndarray, b: np.ndarray) -> None:
-        def agree(side: np.ndarray, k: int) -> np.ndarray:
-            unlike = side[a] != side[b]
-            n = np.where(unlike.any(1), unlike.argmax(1), self.reach)
-            return np.minimum(n, np.minimum(self.sizes[a, k], self.sizes[b, k]))
-
-        left, right = agree(self.before, 0), agree(self.after, 1)
-        ok = left + right >= self.reach
-        for member in (a[ok], b[ok]):
-            np.add.at(self.steps, (member, self.reach - right[ok]), 1)
-            np.add.at(self.steps, (member, left[ok] + 1), -1)
-
-    def repeated(self) -> np.ndarray:
-        """For each member, which windows (by the bytes before the gram) another member has too."""
-        return np.cumsum(self.steps, axis=1)[:, : self.reach + 1] > 0
+        while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
+            one, two = self.levels.pop(), self.levels.pop()
+            self.levels.append(self._level(*(np.concatenate([x, y]) for x, y in zip(two, one, strict=True))))
+
+    def _level(self, right: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The members by what stands from the gram on and by what stands before it; each comes as runs in order."""
+        return right[_order(self.after[right])], left[_order(self.before[left])]
+
+    def _scan(self, right: np.ndarray, left: np.ndarray) -> None:
+        """Mark the windows that two of these members share.
+
+        In either order, members that agree in their first bytes are neighbours, and how far is the least agreement
+        from one neighbour to the next. A window that begins a bytes before the gram is shared by those that agree
+        in a bytes before and in the rest after it.
+        """
+        agree = {}
+        for name, order, keys, known in (("right", right, self.after, self.tag + self.gram), ("left", left, self.before, self.tag)):
+            agree[name] = np.maximum(_agreement(keys[order]) - known, -1)
+        best = np.full((2, len(self.hash)), -1, dtype=np.int64)
+        for k, (name, order) in enumerate((("left", left), ("right", right))):
+            near = np.maximum(agree[name], np.append(agree[name][1:], -1))
+            best[k, order] = np.minimum(near, self.sizes[order, k])
+        hopeful = (best[0] >= 0) & (best[1] >= 0) & (best[0] + best[1] >= self.reach)
+        place = np.full(len(self.hash), -1, dtype=np.int64)
+        orders = {}
+        for name, order in (("right", right), ("left", left)):
+            kept = np.flatnonzero(hopeful[order])
+            if not len(kept):
+                return
+            # between two that are left the agreement is the least on the way
+            least = np.minimum.reduceat(np.append(agree[name], -1), np.stack([np.append(-1, kept[:-1]) + 1, kept + 1], axis=1).ravel())[::2]
+            orders[name] = (order[kept], least)
+        members = orders["right"][0]
+        place[members] = np.arange(len(members))
+        lows, highs = self.reach - best[1, members], best[0, members]
+        at_left = place[orders["left"][0]]
+        for a in range(int(lows.min()), int(highs.max()) + 1):
+            inside = np.flatnonzero((lows <= a) & (a <= highs))
+            if len(inside) < 2:
+                continue
+            same_after = np.cumsum(orders["right"][1] < self.reach - a)
+            same_before = np.empty(len(members), dtype=np.int64)
+            same_before[at_left] = np.cumsum(orders["left"][1] < a)
+            both = same_after[inside] * (len(members) + 1) + same_before[inside]
+            by = np.argsort(both, kind="stable")
+            equal = both[by[1:]] == both[by[:-1]]
+            self.repeated[members[inside[by[np.append(equal, False) | np.append(False, equal)]]], a] = True
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,36 +255,38 @@ def _settle(surroundings: DataFrame, length: int, gram: int) -> DataFrame:
     """``(rid, first, last)``: ranges of window starts that repeat, for members that stand once."""
     reach = length - gram
 
+    def take(index: SuffixLevels, held: list[pa.RecordBatch]) -> None:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        left, pieces = rows.column("left").to_numpy(), rows.column("piece").to_pylist()
+        size = np.array([len(p) for p in pieces])
+        before, after = np.zeros((len(pieces), reach), dtype=np.uint8), np.zeros((len(pieces), length), dtype=np.uint8)
+        for i, (piece, x) in enumerate(zip(pieces, left.tolist(), strict=True)):
+            data = np.frombuffer(piece, dtype=np.uint8)
+            before[i, :x] = data[:x][::-1]
+            after[i, : len(data) - x] = data[x:]
+        index.add(rows.column("gram").to_numpy(), before, after, np.stack([left, size - left - gram], axis=1))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = SuffixLevels(length, gram)
-        rid, pos, single = [], [], []
+        index, held, seen = SuffixLevels(length, gram), [], []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            grams, n, r, p = (batch.column(k).to_numpy() for k in range(4))
-            left = batch.column(4).to_numpy()
-            pieces = batch.column(5).to_pylist()
-            before, after = (np.zeros((len(pieces), reach), dtype=np.uint8) for _ in range(2))
-            for i, (piece, x) in enumerate(zip(pieces, left.tolist(), strict=True)):
-                before[i, :x] = np.frombuffer(piece, dtype=np.uint8, count=x)[::-1]
-                tail = np.frombuffer(piece, dtype=np.uint8, offset=x + gram) if len(piece) > x + gram else np.zeros(0, np.uint8)
-                after[i, : len(tail)] = tail
-            index.add(grams, before, after, np.stack([left, np.array([len(q) for q in pieces]) - left - gram], axis=1))
-            rid.append(r)
-            pos.append(p)
-            single.append(n == 1)
-        if rid:
-            at, first, last = _runs(index.repeated())
-            keep = np.concatenate(single)[at]
-            at, first, last = at[keep], first[keep], last[keep]
-            r, p = np.concatenate(rid)[at], np.concatenate(pos)[at]
-            yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(p - last), pa.array(p - first)], names=["rid", "first", "last"])
+            if batch.num_rows:
+                held.append(batch)
+                seen.append(batch.select(["n", "rid", "pos"]))
+            if sum(b.num_rows for b in held) >= BATCH_MEMBERS:
+                take(index, held)
+                held = []
+        if held:
+            take(index, held)
+        if seen:
+            single, rid, pos = (np.concatenate([b.column(k).to_numpy() for b in seen]) for k in range(3))
+            at, first, last = _runs(index.repeated & (single == 1)[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(rid[at]), pa.array(pos[at] - last), pa.array(pos[at] - first)], names=["rid", "first", "last"])
 
     return surroundings.select("gram", "n", "rid", "pos", "left", "piece").repartition("gram").mapInArrow(run, "rid long, first long, last long")
 
 
 def _settle_hot(surroundings: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same for grams with very many surroundings, by counting; counts are combined before each shuffle.
+    """The same for grams with very many surroundings, by counting, on 128 bits of hash; counts are combined before each shuffle.
 
     Windows are told by how many bytes they begin before the gram and come in
     stripes of neighbours. What a stripe's windows have in common lies within each of them, so
@@ -266,32 +302,32 @@ def _settle_hot(surroundings: DataFrame, length: int, gram: int) -> DataFrame:
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for g, rid, pos, left, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for rid, pos, left, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for k in range(reach // stripe + 1):
                     if windows(left, len(piece), k):
                         shared = piece[left - k * stripe : left - min(k * stripe + stripe - 1, reach) + length]
-                        out.append((xxhash.xxh3_64_intdigest(shared, (g + k) & 0xFFFFFFFF) - (1 << 63), rid, pos, k))
+                        out.append((xxhash.xxh3_128_digest(shared, k), rid, pos, k))
             columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "rid", "pos", "k"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["key", "rid", "pos", "k"])
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for g, n, rid, pos, left, piece, stripes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for n, rid, pos, left, piece, stripes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for k in stripes:
                     for a in windows(left, len(piece), k):
                         window = piece[left - a : left - a + length]
-                        out.append((xxhash.xxh3_64_intdigest(window, g & 0xFFFFFFFF) - (1 << 63), n, rid, pos - a))
+                        out.append((xxhash.xxh3_128_digest(window), n, rid, pos - a))
             columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "n", "rid", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["key", "n", "rid", "start"])
 
     def repeated(rows: DataFrame, *spot: str) -> DataFrame:
         return rows.groupBy("key").agg(F.min(F.struct(*spot)).alias("a"), F.max(F.struct(*spot)).alias("b")).where("a <> b").select("key")
 
-    rows = durable(surroundings.select("gram", "rid", "pos", "left", "piece").mapInArrow(common, "key long, rid long, pos long, k long"), "stripes", files_per_core=4)
+    rows = durable(surroundings.select("rid", "pos", "left", "piece").mapInArrow(common, "key binary, rid long, pos long, k long"), "stripes", files_per_core=4)
     stripes = rows.join(repeated(rows, "rid", "pos"), "key").groupBy("rid", "pos").agg(F.collect_list("k").alias("stripes"))
-    asked = surroundings.join(stripes, ["rid", "pos"]).select("gram", "n", "rid", "pos", "left", "piece", "stripes")
-    rows = durable(asked.mapInArrow(single, "key long, n long, rid long, start long"), "windows", files_per_core=4)
+    asked = surroundings.join(stripes, ["rid", "pos"]).select("n", "rid", "pos", "left", "piece", "stripes")
+    rows = durable(asked.mapInArrow(single, "key binary, n long, rid long, start long"), "windows", files_per_core=4)
     return rows.where("n = 1").join(repeated(rows, "rid", "start"), "key").select("rid", F.col("start").alias("first"), F.col("start").alias("last"))
 
 

@@ -306,12 +306,40 @@ def test_suffix_dedup(spark, hot, monkeypatch):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
-def test_suffix_levels_merge_geometrically():
-    rng = np.random.default_rng(1)
-    index = suffix_dedup.SuffixLevels(40, 8)
-    for _ in range(9):
-        index.add(rng.integers(0, 3, 10), rng.integers(0, 2, (10, 32)).astype(np.uint8), rng.integers(0, 2, (10, 32)).astype(np.uint8), np.full((10, 2), 32))
-    assert sum(map(len, index.levels)) == 90 and len(index.levels) <= 4 and all(len(a) >= 2 * len(b) for a, b in zip(index.levels, index.levels[1:], strict=False))
+def levels_of(rng, rounds=9):
+    """Batches of members with short alphabets, and all of them."""
+    index, taken = suffix_dedup.SuffixLevels(40, 8), []
+    for _ in range(rounds):
+        batch = rng.integers(0, 3, 30), rng.integers(0, 2, (30, 32)).astype(np.uint8), np.zeros((30, 40), dtype=np.uint8), np.full((30, 2), 32)
+        batch[2][:, 8:] = rng.integers(0, 2, (30, 32))
+        for i in range(0, 30, 2):  # partners that differ somewhere
+            other = (int(rng.integers(0, 30)), taken[int(rng.integers(0, len(taken)))] if taken and rng.random() < 0.7 else batch)
+            for k in range(3):
+                batch[k][i] = other[1][k][other[0]]
+            batch[1 + int(rng.integers(0, 2))][i, int(rng.integers(8, 32))] ^= 1
+        batch[3][::5, 1] = 20
+        taken.append(batch)
+        index.add(*batch)
+    return index, [np.concatenate(x) for x in zip(*taken, strict=True)]
+
+
+def test_suffix_levels_find_all_shared_windows(monkeypatch):
+    """Every pair is compared by brute force; levels grow geometrically; without the suffix order matches are lost."""
+    index, (gram, before, after, sizes) = levels_of(np.random.default_rng(1))
+    assert sum(len(a) for a, _ in index.levels) == 270 and len(index.levels) <= 4 and all(len(a[0]) >= 2 * len(b[0]) for a, b in zip(index.levels, index.levels[1:], strict=False))
+    want = np.zeros((270, 33), dtype=bool)
+    for i in range(270):
+        for j in range(270):
+            if i != j and gram[i] == gram[j]:
+                left = next((k for k in range(32) if before[i, k] != before[j, k]), 32)
+                right = next((k for k in range(32) if after[i, 8 + k] != after[j, 8 + k]), 32)
+                left, right = min(left, sizes[i, 0], sizes[j, 0]), min(right, sizes[i, 1], sizes[j, 1])
+                want[i, max(0, 32 - right) : left + 1] |= left + right >= 32
+    assert want.any() and not want.all() and (index.repeated == want).all()
+    shuffle = np.random.default_rng(2)
+    monkeypatch.setattr(suffix_dedup, "_order", lambda keys: shuffle.permutation(len(keys)))
+    broken, _ = levels_of(np.random.default_rng(1))
+    assert (broken.repeated & ~want).sum() == 0 and broken.repeated.sum() < want.sum()
 
 
 FAKE = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
