@@ -1,15 +1,22 @@
 """Token counts kept by delta: signed changes add up to totals by source, language and tokenizer version.
 
-A ledger holds one table of signed counts per committed batch and one of the
-documents' counts. A batch becomes visible by the one marker file that is written last; a batch
-whose marker is there is not applied again, so a retry or a replay changes nothing.
+A ledger is a chain of versions, one small manifest each. A batch is counted and
+netted against what the ledger holds of its documents, the signed difference is added to the
+totals, and the batch becomes visible by the one manifest that is written last, under the next version's number, which
+only one writer can create. A batch whose mark is there is not applied again, so a retry or a replay changes nothing.
+Documents' latest counts lie in segments that merge geometrically.
 """
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +26,9 @@ from .word_bpe import forget, token_bytes
 KEYS = ("source", "lang", "version")
 MEASURES = ("docs", "tokens", "chars")
 DELTA = "source string, lang string, version string, docs long, tokens long, chars long"
+HELD = "doc_id long, version string, source string, lang string, tokens long, chars long, live boolean, commit long"
+#: Buckets of a segment by id. A batch that touches few of them reads these only.
+BUCKETS = 64
 
 
 def bpe_counter(path: str | None = None) -> Callable[[DataFrame], DataFrame]:
@@ -54,55 +64,135 @@ class TokenLedger:
     id that the ledger holds is a revision, so that counts stay true when a feed repeats itself.
 
     Cases: null text counts as empty; null source or language is a key of its own;
-    null ids are documents that only their totals keep and that cannot be revised;
-    rows that repeat an id within a batch count once each as inserts of a null-free
-    id would twice, so the last by text is taken; an empty batch commits and changes nothing; extra columns are ignored.
+    null ids are documents that only their totals keep: inserts and revisions add them, deletes of them do nothing.
+    Of a batch's rows with one id the last by ``order_col`` counts; without that column, or at ties in it, deletes come after
+    revisions and these after inserts, then the larger count is the later. An operation that is none of the three, or null,
+    is an insert. An empty batch commits and changes nothing; extra columns are ignored. Batch ids are any text.
+
+    Two writers may commit at once: the one that comes second to a version's
+    number nets its batch against the new version and tries the next number. What a
+    writer leaves that stops before its manifest is under a name of its own that nothing reads.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def _fs(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{path}")
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
     def _exists(self, path: str) -> bool:
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        fs, at = self._fs(path)
+        return fs.exists(at)
 
-    def _names(self) -> list[str]:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
-        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _names(self, path: str) -> list[str]:
+        fs, at = self._fs(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
 
-    def _held(self) -> DataFrame | None:
-        """The latest counts of each document and version."""
-        found = [f"{self.path}/documents/{n}" for n in self._names()]
-        return self.spark.read.parquet(*found) if found else None
+    def _create(self, path: str, text: str) -> bool:
+        """Write a small file that is not there yet; False if it is."""
+        fs, at = self._fs(path)
+        try:
+            out = fs.create(at, False)
+        except Py4JJavaError:
+            if fs.exists(at):
+                return False
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
 
-    def commit(self, batch_id: str, changes: DataFrame, version: str, counter: Callable[[DataFrame], DataFrame]) -> bool:
+    def _manifest(self, name: str) -> dict | None:
+        """A version's manifest; None if its writer stopped while writing it."""
+        for _ in range(10):
+            fs, at = self._fs(f"versions/{name}")
+            source = fs.open(at)
+            try:
+                size = fs.getFileStatus(at).getLen()
+                return json.loads(bytes(source.readNBytes(size)).decode())
+            except ValueError:
+                time.sleep(0.2)
+            finally:
+                source.close()
+        return None
+
+    def _latest(self) -> dict:
+        for name in reversed(self._names("versions")):
+            found = self._manifest(name)
+            if found:
+                # a writer may have stopped between its manifest and its mark
+                self._create(f"applied/{_encoded(found['batch'])}", "")
+                return found
+            fs, at = self._fs(f"versions/{name}")
+            fs.delete(at, False)
+        return {"version": 0, "totals": None, "segments": []}
+
+    def _held(self, segments: list[dict], buckets: list[int] | None = None) -> DataFrame:
+        """The latest counts of each document and version in some segments; of ``buckets`` only, if given."""
+        found = [self.spark.read.schema(f"{HELD}, bucket int").parquet(f"{self.path}/{s['path']}") for s in segments]
+        rows = found[0] if found else self.spark.createDataFrame([], f"{HELD}, bucket int")
+        for more in found[1:]:
+            rows = rows.union(more)
+        if buckets is not None:
+            rows = rows.where(F.col("bucket").isin(buckets))
+        if len(found) < 2:
+            return rows
+        latest = F.max_by(F.struct("source", "lang", "tokens", "chars", "live", "commit", "bucket"), "commit").alias("x")
+        return rows.groupBy("doc_id", "version").agg(latest).select("doc_id", "version", "x.*")
+
+    def _write_segment(self, rows: DataFrame, name: str) -> dict:
+        path = f"segments/{name}-{uuid.uuid4().hex}"
+        share = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)  # tasks a bucket
+        rows.select(*(c.split()[0] for c in HELD.split(", ")), "bucket").repartition("bucket", F.pmod(F.hash("doc_id"), F.lit(share))).write.partitionBy("bucket").parquet(f"{self.path}/{path}")
+        return {"path": path, "rows": self.spark.read.schema(f"{HELD}, bucket int").parquet(f"{self.path}/{path}").count()}
+
+    def commit(self, batch_id: str, changes: DataFrame, version: str, counter: Callable[[DataFrame], DataFrame], order_col: str | None = None) -> bool:
         """Apply a batch once. False: it was applied before, and nothing changes."""
-        order = len(self._names())
-        if any(n.split("~", 1)[1] == batch_id for n in self._names()):
+        self._latest()
+        if self._exists(f"applied/{_encoded(batch_id)}"):
             return False
-        name = f"{order:08d}~{batch_id}"
-        rows = changes.select("op", F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        counted = counter(rows.withColumn("chars", F.char_length("text").cast("long"))).withColumn("version", F.lit(version))
-        known, loose = counted.where("doc_id is not null"), counted.where("doc_id is null and op <> 'delete'")
-        latest = F.max_by(F.struct("op", "source", "lang", "tokens", "chars"), F.struct("tokens", "chars", "source", "lang"))
-        new = known.groupBy("doc_id", "version").agg(latest.alias("x")).select("doc_id", "version", "x.*")
-        new = new.withColumns({"batch": F.lit(order), "live": F.col("op") != "delete"}).drop("op")
-        # attempts before the marker may have left files: they are overwritten, so a retry is the same as a first try
-        new.write.mode("overwrite").parquet(f"{self.path}/documents/{name}")
-        new = self.spark.read.parquet(f"{self.path}/documents/{name}")
-        deltas = self._signed(new.where("live"), 1)
-        held = self._held()
-        if held is not None:
-            current = held.groupBy("doc_id", "version").agg(F.max_by(F.struct("source", "lang", "tokens", "chars", "live"), "batch").alias("x")).select("doc_id", "version", "x.*").where("live")
-            deltas = deltas.union(self._signed(current.join(new.select("doc_id", "version"), ["doc_id", "version"], "left_semi"), -1))
-        deltas = deltas.union(self._signed(loose, 1)).groupBy(*KEYS).agg(*(F.sum(m).alias(m) for m in MEASURES))
-        deltas.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/deltas/{name}")
-        jvm = self.spark.sparkContext._jvm
-        mark = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{name}")
-        mark.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(mark, False).close()
-        return True
+        op = F.when(F.col("op").isin("revise", "delete"), F.col("op")).otherwise("insert")
+        rank = F.when(op == "delete", 2).when(op == "revise", 1).otherwise(0)
+        ids = changes.select(
+            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), (op != "delete").alias("live"),
+            F.struct((F.col(order_col) if order_col else F.lit(0)).alias("turn"), rank.alias("rank")).alias("turn"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        )
+        # deletes are not counted, and each text once: the counts are written before anything reads them
+        counted = counter(ids.where("live").withColumn("chars", F.char_length("text").cast("long")))
+        gone = ids.where("not live and doc_id is not null").drop("text").withColumns({"chars": F.lit(0).cast("long"), "tokens": F.lit(0).cast("long")})
+        path = f"{self.path}/counted/{uuid.uuid4().hex}"
+        counted.unionByName(gone).write.parquet(path)
+        rows = self.spark.read.parquet(path)
+        last = F.max_by(F.struct("source", "lang", "tokens", "chars", "live"), F.struct("turn", "tokens", "chars", "source", "lang")).alias("x")
+        new = rows.where("doc_id is not null").groupBy("doc_id").agg(last).select("doc_id", F.lit(version).alias("version"), "x.*")
+        while True:
+            now = self._latest()
+            if self._exists(f"applied/{_encoded(batch_id)}"):
+                return False
+            number = now["version"] + 1
+            named = new.withColumns({"commit": F.lit(number).cast("long"), "bucket": F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")})
+            segment = self._write_segment(named, f"{number:012d}")
+            new_rows = self.spark.read.schema(f"{HELD}, bucket int").parquet(f"{self.path}/{segment['path']}")
+            deltas = self._signed(new_rows.where("live"), 1).union(self._signed(rows.where("doc_id is null and live").withColumn("version", F.lit(version)), 1))
+            if now["segments"] and segment["rows"]:
+                touched = [r["bucket"] for r in new_rows.select("bucket").distinct().collect()]  # at most BUCKETS
+                before = self._held(now["segments"], touched if len(touched) < BUCKETS else None).where("live")
+                deltas = deltas.union(self._signed(before.join(new_rows.select("doc_id", "version"), ["doc_id", "version"], "left_semi"), -1))
+            if now["totals"]:
+                deltas = deltas.union(self.spark.read.schema(DELTA).parquet(f"{self.path}/{now['totals']}"))
+            totals = f"totals/{number:012d}-{uuid.uuid4().hex}"
+            summed = deltas.groupBy(*KEYS).agg(*(F.sum(m).alias(m) for m in MEASURES)).where("docs <> 0 or tokens <> 0 or chars <> 0")
+            summed.coalesce(1).write.parquet(f"{self.path}/{totals}")  # a row per source, language and version
+            segments = [*now["segments"], *([segment] if segment["rows"] else [])]
+            while len(segments) > 1 and segments[-2]["rows"] < 2 * segments[-1]["rows"]:
+                two = segments[-2:]
+                merged = self._held(two)
+                # what is dead in the oldest segment hides nothing
+                segments[-2:] = [self._write_segment(merged if len(segments) > 2 else merged.where("live"), f"{number:012d}")]
+            found = {"version": number, "batch": batch_id, "totals": totals, "segments": segments}
+            if self._create(f"versions/{number:012d}", json.dumps(found)):
+                self._create(f"applied/{_encoded(batch_id)}", "")
+                return True
 
     @staticmethod
     def _signed(rows: DataFrame, sign: int) -> DataFrame:
@@ -111,9 +201,13 @@ class TokenLedger:
 
     def totals(self) -> DataFrame:
         """``(source, lang, version, docs, tokens, chars)``; keys that have come down to no documents are left out."""
-        names = self._names()
-        found = self.spark.read.schema(DELTA).parquet(*[f"{self.path}/deltas/{n}" for n in names]) if names else self.spark.createDataFrame([], DELTA)
-        return found.groupBy(*KEYS).agg(*(F.sum(m).alias(m) for m in MEASURES)).where("docs <> 0 or tokens <> 0")
+        found = self._latest()["totals"]
+        return self.spark.read.schema(DELTA).parquet(f"{self.path}/{found}") if found else self.spark.createDataFrame([], DELTA)
+
+
+def _encoded(batch_id: str) -> str:
+    """A file name for any text; none starts with a sign that hides files."""
+    return "b" + quote(batch_id, safe="")
 
 
 def _inserts(docs: DataFrame, op: str = "insert") -> DataFrame:
@@ -121,12 +215,15 @@ def _inserts(docs: DataFrame, op: str = "insert") -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents committed under the BPE tokenizer and again under word counts, then the first batch replayed."""
-    docs = _inserts(table(spark, sf_dir, "documents"))
+    """All documents under the BPE tokenizer and under word counts; then one language's are deleted, inserted again and revised, and the first batch is replayed."""
+    docs = table(spark, sf_dir, "documents")
     ledger = TokenLedger(spark, new_path(spark, "ledger"))
-    ledger.commit("bpe-1", docs, "word_bpe_49k", bpe_counter())
-    ledger.commit("words-1", docs, "words", word_counter)
-    ledger.commit("bpe-1", docs, "word_bpe_49k", bpe_counter())
+    ledger.commit("bpe-1", _inserts(docs), "word_bpe_49k", bpe_counter())
+    ledger.commit("words-1", _inserts(docs), "words", word_counter)
+    ledger.commit("bpe/less", _inserts(docs.where("lang = 'de'"), "delete"), "word_bpe_49k", bpe_counter())
+    ledger.commit("bpe/again", _inserts(docs.where("lang = 'de'")), "word_bpe_49k", bpe_counter())
+    ledger.commit("words/revised", _inserts(docs.where("lang = 'de'"), "revise"), "words", word_counter)
+    ledger.commit("bpe-1", _inserts(docs), "word_bpe_49k", bpe_counter())
     return ledger.totals()
 
 

@@ -437,6 +437,84 @@ def test_token_ledger(spark):
     assert totals()[("s", "en", "v2")] == (1, 2, 3) and totals()[("s", "en", "w")] == (2, 6, 16)
 
 
+def test_token_ledger_order_and_writers(spark, monkeypatch):
+    kinds = "op string, doc_id long, source string, lang string, text string, turn int"
+    batch = lambda *rows: spark.createDataFrame(list(rows), kinds)
+    path = new_path(spark, "ledger-order")
+    one, two = token_counts.TokenLedger(spark, path), token_counts.TokenLedger(spark, path)
+    totals = lambda: {tuple(r)[:3]: tuple(r)[3:] for r in one.totals().collect()}
+    count = token_counts.word_counter
+    # ids that hold the path's own sign, or nothing
+    for name in ("a/b", "a", "", "~", "a%2Fb"):
+        assert one.commit(name, batch(("insert", 1, "s", "en", "x y", 0)), "w", count)
+        assert not two.commit(name, batch(("insert", 1, "s", "en", "x y z", 0)), "w", count)
+        assert totals() == {("s", "en", "w"): (1, 2, 3)}
+    # one id twice in a batch: the delete is last, unless a column says otherwise
+    both = batch(("insert", 2, "s", "en", "p q r s t", 2), ("delete", 2, "s", "en", None, 1))
+    assert one.commit("both", both, "w", count) and totals() == {("s", "en", "w"): (1, 2, 3)}
+    assert one.commit("turns", both, "w", count, order_col="turn") and totals() == {("s", "en", "w"): (2, 7, 12)}
+    assert one.commit("odd", batch((None, 3, "s", None, "one", 0), ("upsert", 4, None, "en", "", 0), ("delete", None, "s", "en", "gone", 0)), "w", count)
+    assert totals() == {("s", "en", "w"): (2, 7, 12), ("s", None, "w"): (1, 1, 3), (None, "en", "w"): (1, 0, 0)}
+    # a second writer takes the next number between the first one's reading and its manifest; both count once
+    create, done = token_counts.TokenLedger._create, []
+
+    def meddled(self, name, text):
+        if name.startswith("versions/") and not done:
+            done.append(name)
+            assert two.commit("second", batch(("revise", 1, "t", "en", "moved here now", 0)), "w", count)
+        return create(self, name, text)
+
+    monkeypatch.setattr(token_counts.TokenLedger, "_create", meddled)
+    assert one.commit("first", batch(("revise", 1, "u", "en", "at last", 0), ("insert", 9, "s", "en", "n", 0)), "w", count)
+    assert totals() == {("s", "en", "w"): (2, 6, 10), ("u", "en", "w"): (1, 2, 7), ("s", None, "w"): (1, 1, 3), (None, "en", "w"): (1, 0, 0)}
+    assert not one.commit("second", both, "w", count) and not two.commit("first", both, "w", count)
+    # a writer that stops between its manifest and its mark has committed
+    fs, at = one._fs("applied/bfirst")
+    fs.delete(at, False)
+    assert not two.commit("first", both, "w", count)
+
+
+def test_token_ledger_against_recounting(spark):
+    """Random batches: the totals are those of the documents that are left, and segments stay few."""
+    rng, held, ledger = random.Random(12), {}, token_counts.TokenLedger(spark, new_path(spark, "ledger-random"))
+    for step in range(9):
+        rows, n = [], rng.choice([3, 40])
+        for turn in range(n):
+            i, op = rng.randrange(30), rng.choice(["insert", "insert", "revise", "delete"])
+            row = (op, i, rng.choice("st"), rng.choice(["en", None]), words(rng, rng.randrange(4)), turn)
+            rows.append(row)
+            held.pop(i, None) if op == "delete" else held.__setitem__(i, row)
+        rng.shuffle(rows)
+        assert ledger.commit(f"step {step}", spark.createDataFrame(rows, "op string, doc_id long, source string, lang string, text string, turn int"), "w", token_counts.word_counter, order_col="turn")
+        want = defaultdict(lambda: [0, 0, 0])
+        for _, _, source, lang, text, _ in held.values():
+            for k, v in enumerate((1, len(text.split()), len(text))):
+                want[source, lang, "w"][k] += v
+        assert {tuple(r)[:3]: [*r][3:] for r in ledger.totals().collect()} == want
+        assert len(ledger._latest()["segments"]) <= 4
+
+
+def test_token_counts_query(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    want = defaultdict(lambda: [0, 0, 0])
+    for r in docs:
+        t = r["text"] or ""
+        for version, n in (("word_bpe_49k", len(slow_ids(t))), ("words", len(re.findall(r"[^ \t-\r]+", t)))):
+            for k, v in enumerate((1, n, len(t))):
+                want[r["source"], r["lang"], version][k] += v
+    assert {(r["source"], r["lang"], r["version"]): [r["docs"], r["tokens"], r["chars"]] for r in token_counts.op9_token_counts(spark, SF).collect()} == want
+
+
+def slow_ids(text):
+    """The tokenizer itself."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    if not hasattr(slow_ids, "tokenizer"):
+        slow_ids.tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    return slow_ids.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("name", ["exact", "simhash", "wide", "pack", "pii", "suffix", "pieces", "score", "vectors"])
 def test_empty_tables(spark, name):
     df = docs_of(spark, [])
