@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 _roots: dict[str, str] = {}
+_written: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -47,26 +48,53 @@ def _forget(spark: SparkSession, path: str) -> None:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder, deleted when Python exits."""
-    path = f"{shared_root(spark)}/tessel/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, in a folder of this application; deleted by :func:`discard` or when Python exits.
+
+    What a driver leaves that dies before is in the folder that its application id names.
+    """
+    path = f"{shared_root(spark)}/tessel/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     atexit.register(_forget, spark, path)
     return path
 
 
-def durable(df: DataFrame, name: str, narrow: bool = False, files_per_core: int = 0) -> DataFrame:
+def discard(spark: SparkSession) -> None:
+    """Delete all intermediate tables so far; results that are not written yet cannot be read afterwards."""
+    while _written:
+        _forget(spark, _written.pop())
+
+
+#: Rows of an Arrow batch of whole texts; Spark's own 10,000 are tens of MB, held by the JVM and by Python at a time.
+TEXT_BATCH = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let this session's Arrow batches hold at most ``TEXT_BATCH`` rows from now on."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= TEXT_BATCH:
+        spark.conf.set(_BATCH, TEXT_BATCH)
+
+
+def durable(df: DataFrame, name: str, narrow: bool = False, files_per_core: int = 0, texts: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the readers nothing, because
     the rows no longer depend on shuffle files or on cached blocks. ``narrow``
     tables hold a few numbers a row; they are written in one file per core
     of the cluster instead of one per shuffle partition, so that rounds over small tables do not make thousands of files.
-    ``files_per_core`` does the same for larger tables.
+    ``files_per_core`` does the same for larger tables. ``texts``: Python reads whole texts on the way, in small batches.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     if narrow or files_per_core:
         df = df.coalesce(max(2, spark.sparkContext.defaultParallelism * (files_per_core or 1)))
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    if texts:
+        small_batches(spark)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -214,7 +214,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     The input must be a scan or otherwise give the same rows per task again.
     """
     spark = df.sparkSession
-    rows = durable(pieces(df, id_col, text_col, capacity, tokenizer), "pieces")
+    rows = durable(pieces(df, id_col, text_col, capacity, tokenizer), "pieces", texts=True)
     # ranks within a length over the whole corpus: a task's own ranks, after those of the tasks before it
     counted = durable(rows.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts", narrow=True)
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .embedding_dedup import op8_embedding_dedup
+from .embedding_dedup import embedding_near_copies, op8_embedding_dedup
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .packing import op2_best_fit_packing
 from .pii import op1_pii
@@ -25,6 +25,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
     "token_counts_words": token_counts_words,
+    "embedding_near_copies": embedding_near_copies,
 }
 
 #: The result of op7 as its contract states it; the query gets it through archives that it writes and reads back.
@@ -38,14 +39,21 @@ FROM g
 """
 
 #: The result of op8 by comparing all pairs, for small tables.
-OP8_SQL = """
-WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+_LINKS_SQL = """
+WITH RECURSIVE v AS ({vectors}),
      l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
      r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
      c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
 SELECT vec_id, (SELECT count(*) FROM l WHERE l.x = vec_id) AS n_links, component_id, vec_id = component_id AS kept
 FROM v JOIN c ON x = vec_id
 """
+OP8_SQL = _LINKS_SQL.format(vectors="SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings")
+#: The tables' own vectors have next to no links; with a changed copy of each there are links on both sides of the threshold.
+COPIES_SQL = _LINKS_SQL.format(
+    vectors="""
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  UNION ALL SELECT vec_id + 1000000000, list_concat([CAST(embedding[1] AS DOUBLE) + 0.04 * (vec_id % 11)], CAST(embedding AS DOUBLE[])[2:]) FROM embeddings"""
+)
 
 #: The others have no SQL form: tokenizers, iterative links, learned models. tests/llm holds them against brute force.
-ORACLE_SQL = {"op7_warc": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL, "token_counts_words": WORDS_SQL}
+ORACLE_SQL = {"op7_warc": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "embedding_near_copies": COPIES_SQL, "op10_exact_dedup": OP10_SQL, "token_counts_words": WORDS_SQL}

@@ -132,7 +132,11 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """``(id, text)`` from ids; null ids give an empty text."""
+    """``(id, text)`` from ids.
+
+    Cases: null or no ids - an empty text; texts of any length; a null id column and repeated rows - a row each; empty table - no
+    rows; extra columns are ignored. Ids outside the vocabulary are an error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)

@@ -232,7 +232,7 @@ def near_groups_by_similarity(
                 sets = [_set_of(t, words) for t in batch.column(1).slice(at, 200).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 200), _lists(sets)], names=["node", "shingles"])
 
-    rows = durable(docs.select("id", "text", "rid").mapInArrow(describe, f"id {kind}, rid long, fp binary, size long, prefix array<long>, sketch binary, short binary, print binary"), "sets")
+    rows = durable(docs.select("id", "text", "rid").mapInArrow(describe, f"id {kind}, rid long, fp binary, size long, prefix array<long>, sketch binary, short binary, print binary"), "sets", texts=True)
     classes = durable(rows.groupBy("fp").agg(F.min("id").alias("least"), F.min("rid").alias("node"), F.count("*").alias("n")), "classes", narrow=True)
     again = durable(rows.join(classes.where("n > 1").select("fp", "node"), "fp").where("rid <> node").select("rid"), "again", narrow=True)
     nodes = rows.join(again, "rid", "left_anti").withColumnRenamed("rid", "node")
@@ -244,7 +244,7 @@ def near_groups_by_similarity(
         bitmap = durable(_survivor_bitmap(asked, "k", BITMAP_PAGES), "asked", narrow=True)
         # a row that shares an asked one's bit gives a set that no pair asks for
         texts = _flag(docs.select("rid", "text"), F.xxhash64("rid"), bitmap, BITMAP_PAGES, "__any").where("__any").select("rid", "text")
-        sets = durable(texts.mapInArrow(whole, "node long, shingles array<long>"), "asked-sets", files_per_core=4)
+        sets = durable(texts.mapInArrow(whole, "node long, shingles array<long>"), "asked-sets", files_per_core=4, texts=True)
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("n"), (F.size("x") + F.size("y")).cast("long").alias("total"))
         return durable(counted.where(F.col("n") * wanted.denominator >= (F.col("total") - F.col("n")) * wanted.numerator).select("a", "b"), "similar", narrow=True)
@@ -262,4 +262,4 @@ def near_groups_by_similarity(
         other = _other_pairs(apart(links), wanted, once).join(tried, ["a", "b"], "left_anti")
         other = durable(_possible(other, nodes, wanted), "pairs", narrow=True)
         links, tried = links.union(verified(other)), tried.union(other)
-    return _labelled(rows.withColumnRenamed("id", id_col), classes.select("fp", "node", "least"), links, id_col)
+    return _labelled(rows, classes.select("fp", "node", "least"), links, id_col)

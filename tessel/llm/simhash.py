@@ -102,10 +102,10 @@ def with_fingerprint(df: DataFrame, id_col: str, text_col: str, bits: int, words
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 fps = fingerprints(part.column(1).to_pylist(), bits, words)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.binary())], names=[id_col, "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.binary())], names=["id", "fp"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, fp binary")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp binary")
 
 
 def _bits_of(column: pa.Array, bits: int) -> np.ndarray:
@@ -308,7 +308,7 @@ def bucket_links(probes: DataFrame, bits: int, radius: int) -> DataFrame:
 def near_groups(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 64, radius: int = 3, parts: int = 4
 ) -> DataFrame:
-    """``(id, fp, component_id)``, one row per input row.
+    """``(id, fp, component_id)``, one row per input row; an id column named as one of the others gives way to it as ``id``.
 
     Rows whose fingerprints differ in at most ``radius`` bits are linked;
     ``component_id`` is the smallest id that links reach. Equal fingerprints
@@ -320,8 +320,8 @@ def near_groups(
     - the row is linked, and ``component_id`` is null only if no row in reach has an
     id; repeated rows - a row each; empty table - no rows; extra columns are ignored.
     """
-    rows = durable(with_fingerprint(df, id_col, text_col, bits, words), "fingerprints")
-    marked = rows.groupBy("fp").agg(F.min(id_col).alias("least"))
+    rows = durable(with_fingerprint(df, id_col, text_col, bits, words), "fingerprints", texts=True)
+    marked = rows.groupBy("fp").agg(F.min("id").alias("least"))
     classes = durable(marked.withColumn("node", F.monotonically_increasing_id()), "classes", narrow=True)
     groups, thresholds, hot = plan_probes(classes, bits, radius, parts)
     links = bucket_links(probe_rows(classes, bits, groups, thresholds, hot, radius), bits, radius)
@@ -332,7 +332,8 @@ def _labelled(rows: DataFrame, classes: DataFrame, links: DataFrame, id_col: str
     found = connected_components(links)
     of = durable(classes.join(found, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("c")), "members", narrow=True)
     least = of.groupBy("c").agg(F.min("least").alias("component_id"))
-    return rows.join(of.join(least, "c").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    name = "id" if id_col in ("fp", "component_id") else id_col
+    return rows.join(of.join(least, "c").select("fp", "component_id"), "fp").select(F.col("id").alias(name), "fp", "component_id")
 
 
 def near_groups_by_similarity(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, row_col: str | None = None) -> DataFrame:

@@ -352,7 +352,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     null ids - rows like any other; texts of any length are read whole; empty table - no rows; extra columns are ignored.
     """
     docs = numbered(df, "__rid").select(F.col("__rid").alias("rid"), F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
-    found = durable(_anchor_rows(docs, length, gram), "anchors")
+    found = durable(_anchor_rows(docs, length, gram), "anchors", texts=True)
     spot = F.struct("rid", "pos")
     classes = durable(found.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(spot).alias("at")).select("gram", "around", "n", "at.rid", "at.pos"), "anchor-classes", files_per_core=4)
     various = classes.groupBy("gram").agg(F.count("*").alias("d")).where("d > 1")
@@ -369,7 +369,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 )
 
     texts = _with_any(docs.select("rid", "text"), asked.select("rid"), pages)
-    surroundings = durable(texts.join(asked, "rid").select("rid", "text", "asked").mapInArrow(fetch, "gram long, n long, pos long, d long, rid long, left long, piece binary"), "surroundings", files_per_core=4)
+    surroundings = durable(texts.join(asked, "rid").select("rid", "text", "asked").mapInArrow(fetch, "gram long, n long, pos long, d long, rid long, left long, piece binary"), "surroundings", files_per_core=4, texts=True)
     settled = _settle(surroundings.where(F.col("d") <= HOT_GRAM), length, gram).union(_settle_hot(surroundings.where(F.col("d") > HOT_GRAM), length, gram))
     whole = found.join(classes.where("n > 1").select("gram", "around"), ["gram", "around"]).select("rid", (F.col("pos") - (length - gram)).alias("first"), F.col("pos").alias("last"))
     spans = durable(settled.union(whole).groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans", files_per_core=4)

@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_sample, table
+from .common import bounded_sample, durable, table
 
 #: Labelled rows, smallest id hashes first, that lexicon and model are fitted to.
 TRAIN_ROWS = 20_000
@@ -203,10 +204,14 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, train_rows: int) -> DataFrame:
-    """``(text, y)`` of the training rows: at most ``train_rows``, so that they can be sent to all executors."""
+    """``(text, y)`` of the training rows, written once: at most ``train_rows``, so that their ids can be sent to all executors.
+
+    An id that labels repeat has the largest label; of rows that repeat an id the smallest text counts.
+    """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y"))
     rows = bounded_sample(rows, train_rows, "doc_id")
-    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id").select("text", "y")
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id")
+    return durable(texts.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y"), "labelled", files_per_core=1)
 
 
 def learn_lexicon(train: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
@@ -266,10 +271,10 @@ def score(df: DataFrame, model: Model, text_col: str = "text", name: str = "scor
     """All columns and ``score``: how likely the text is toxic.
 
     Cases: null and empty texts get the score of a text without words; very long
-    texts are read whole; repeated rows get a row each; empty table - no rows. Only
-    the text is an input of the score.
+    texts are read whole; repeated rows get a row each; empty table - no rows; a column that has the
+    score's name already gives way to it, other columns may have any type and name. Only the text is an input of the score.
     """
-    place = df.columns.index(text_col)
+    df = df.select(F.col(text_col).cast("string").alias("__text"), *(f"`{c}`" for c in df.columns if c != name))
     terms, weights = model.terms, np.array(model.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,16 +282,15 @@ def score(df: DataFrame, model: Model, text_col: str = "text", name: str = "scor
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                x = np.array([features(t or "", hits) for t in part.column(place).to_pylist()]).reshape(-1, N_FEATURES)
+                x = np.array([features(t or "", hits) for t in part.column(0).to_pylist()]).reshape(-1, N_FEATURES)
                 p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], names=[*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(p)], names=[*part.schema.names[1:], name])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{kinds}, `{name}` double")
+    return df.mapInArrow(run, T.StructType([*df.schema.fields[1:], T.StructField(name, T.DoubleType())]))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn(docs, table(spark, sf_dir, "labels"))
-    scored = score(docs.select("doc_id", F.col("text").cast("string").alias("text")), model)
+    scored = score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -33,8 +33,11 @@ def write_warc(
 
     Of rows with equal payloads of at least ``min_revisit`` bytes the one with
     the largest id is a response, the others are revisits of it without a
-    payload. Null payloads count as empty; a null id is smaller than any;
-    rows that repeat the largest id are responses all.
+    payload.
+
+    Cases: null payloads count as empty, null addresses too; a null id is smaller than any;
+    rows that repeat the largest id are responses all; payloads may be as long as a row can be, and hold what looks like records; an
+    empty table writes a folder without archives; extra columns are ignored.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     size, strong = F.octet_length("payload").cast("long"), F.sha2("payload", 256)
@@ -125,7 +128,12 @@ def reachable(candidates: DataFrame) -> DataFrame:
 
 
 def read_warc(spark: SparkSession, path: str, keep_payload: bool = False) -> DataFrame:
-    """One row per record: type, record, url, refers, digest (header), length (header), payload_bytes, sha1 of the payload read, and the payload if asked for."""
+    """One row per record: type, record, url, refers, digest (header), length (header), payload_bytes, sha1 of the payload read, and the payload if asked for.
+
+    Cases: records without a payload have the empty one; what stands before a file's first start, after a broken length, or in
+    a payload is no record; records that repeat each other are rows each; fields that a header lacks are empty; a folder without archives gives no
+    rows; a record is held whole by one task, files and splits are not.
+    """
     found = durable(_candidates(spark, path, keep_payload), "candidates")
     step = len(MAGIC.encode())
     blocks = found.groupBy("file", "block").agg(F.sum(F.col("size") + step).alias("bytes"))
@@ -136,7 +144,11 @@ def read_warc(spark: SparkSession, path: str, keep_payload: bool = False) -> Dat
     placed = durable(placed.where("off >= 0").withColumn("after", F.col("off") + step + F.col("head_size") + F.col("content") + len(END)), "placed")
     marks = reachable(placed).withColumn("real", F.lit(True))
     told = placed.join(marks, ["file", "off"], "left").withColumn("real", F.coalesce("real", F.lit(False)))
-    told = told.withColumn("n", F.sum(F.col("real").cast("long")).over(Window.partitionBy("file").orderBy("off")))
+    # numbers of the real records, within a split and after those of the file's splits before it: no window holds more than a split's rows
+    told = durable(told.withColumn("real_here", F.sum(F.col("real").cast("long")).over(Window.partitionBy("file", "block").orderBy("off"))), "told")
+    reals = told.groupBy("file", "block").agg(F.max("real_here").alias("reals"))
+    reals = reals.withColumn("reals_before", F.coalesce(F.sum("reals").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    told = told.join(reals.drop("reals"), ["file", "block"]).withColumn("n", F.col("reals_before") + F.col("real_here")).drop("reals_before", "real_here")
     fields = ["type", "record", "url", "refers", "digest", "length"]
     whole = told.where("real and whole").select(*fields, F.col("content").alias("payload_bytes"), "sha1", *(["payload"] if keep_payload else []))
     # the rest: a start within the payload cut it; its pieces are put together again
