@@ -2,7 +2,8 @@
 
 Each stage takes the documents that the one before kept, with all columns, and
 works on whole texts. Null and empty texts are documents like any other; rows that repeat each other are copies, of
-which one stays; an empty table runs through.
+which one stays; an empty table runs through. Stages that hand whole texts to
+Python lower the session's Arrow batch size.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm import exact_dedup, packing, pii, simhash, toxicity
-from tessel.llm.common import durable, numbered, table
+from tessel.llm.common import durable, numbered, small_batches, table
 
 #: A row's number while a stage decides on it; the same in each scan.
 ROW = "__tessel_row"
@@ -24,6 +25,7 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def toxic_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model scores at 0.5 or more go."""
+    small_batches(spark)
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, name="__tessel_score").where("__tessel_score < 0.5").select(*docs.columns)
 
@@ -46,6 +48,7 @@ def near_copies_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def personal_data_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts is replaced by its kind; ``n_chars`` follows."""
+    small_batches(spark)
     masked = pii.redact(docs)
     return masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
