@@ -1,4 +1,4 @@
-"""Command line: ``python -m tessel.cli run|explain|validate|bench|coverage``."""
+"""Command line: ``python -m tessel.cli run|explain|probe|validate|bench|coverage``."""
 
 from __future__ import annotations
 
@@ -14,12 +14,12 @@ from tessel.session import register, session
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tessel")
     commands = p.add_subparsers(dest="command", required=True)
-    for name in ("run", "explain", "validate", "bench", "coverage"):
+    for name in ("run", "explain", "probe", "validate", "bench", "coverage"):
         c = commands.add_parser(name)
         c.add_argument("--data", required=True, help="folder of Parquet tables")
         c.add_argument("--master", default="local[*]")
         c.add_argument("--json", action="store_true")
-        if name in ("run", "explain", "bench"):
+        if name in ("run", "explain", "probe", "bench"):
             one = c.add_mutually_exclusive_group(required=True)
             one.add_argument("--query")
             one.add_argument("--sql")
@@ -41,13 +41,17 @@ def main(argv: list[str] | None = None) -> int:
     spark = session(args.master)
     register(spark, args.data)
     say = lambda x: print(json.dumps(x, default=str) if args.json else x)
-    if args.command in ("run", "explain", "bench"):
+    if args.command in ("run", "explain", "probe", "bench"):
         text = runner.sql_text(args.query, args.sql, args.sql_file)
     if args.command == "run":
         for row in spark.sql(text).toLocalIterator():
             say(row.asDict())
     elif args.command == "explain":
         say(dataclasses.asdict(runner.explain(spark, text)))
+    elif args.command == "probe":
+        found = runner.probe(spark, text)
+        say(found)
+        return int(not found["admissible"])
     elif args.command == "bench":
         say({k: dataclasses.asdict(v) for k, v in runner.benchmark(lambda: spark.sql(text), args.cold, args.warm_up, args.hot).items()})
     elif args.command == "coverage":

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessel.errors import UnsupportedPlanError
+from tessel.sources.scan import with_row_id
 
 KINDS = ("inner", "left", "right", "full", "left_semi", "left_anti")
 
@@ -88,6 +91,32 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
     return cut.join(cells, "__cell").where(F.col(at).between(F.col(low), F.col(high))).drop("__cell")
 
 
+def positional_join(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of two Parquet scans side by side by position; the shorter one is filled up with nulls."""
+    a, b = with_row_id(left, "__a"), with_row_id(right, "__b")
+    return a.join(b, F.col("__a") == F.col("__b"), "full").drop("__a", "__b")
+
+
+#: Rows of a side that goes to every task as Arrow data.
+BATCH_SIDE = 100_000
+
+
+def batch_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """Inner join of each Arrow batch, where it is, with a right side of at most ``BATCH_SIDE`` rows and unlike column names; null keys meet nothing."""
+    if set(left.columns) & set(right.columns):
+        raise UnsupportedPlanError("columns of both sides must have different names")
+    side = right.where(F.col(right_key).isNotNull()).limit(BATCH_SIDE + 1).toArrow()
+    if side.num_rows > BATCH_SIDE:
+        raise UnsupportedPlanError(f"the right side has over {BATCH_SIDE} rows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            met = pa.Table.from_batches([batch]).join(side, left_key, right_key, "inner", coalesce_keys=False)
+            yield from met.select([*batch.schema.names, *side.schema.names]).to_batches()
+
+    return left.mapInArrow(run, StructType([*left.schema.fields, *right.schema.fields]))
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, value: str, name: str) -> DataFrame:
     """All left rows with the value of the latest right row of the same key that is not later.
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessel.errors import UnsupportedPlanError
+from tessel.sources.shared import written
 
 CELL = 1 << 16
 
@@ -235,7 +236,9 @@ def dictionary(spark: SparkSession, values: DataFrame, column: str, existing: Da
         new = new.join(existing.select("value"), "value", "left_anti")
         first = F.lit((existing.agg(F.max("id")).first()[0] or -1) + 1 if existing.take(1) else 0)
     # values are ranked within ranges of the order, and the ranges follow one another: no single task sorts all
+    # the numbers are written once: another reading might cut the ranges elsewhere
     ranged = new.repartitionByRange("value").sortWithinPartitions("value").select("value", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
+    ranged = written(ranged, "dictionary")
     w = Window.partitionBy("p").orderBy("m")
     sizes = ranged.groupBy("p").agg(F.count("*").alias("n"))
     before = sizes.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))

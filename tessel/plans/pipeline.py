@@ -97,5 +97,16 @@ class Pipeline:
             yield held
 
 
+def one_mode(**modes: object) -> str | None:
+    """The one mode that is asked for; chunked scans, local aggregates by partition and encoded masks are ways of their own that do not combine."""
+    known = ("scan_chunk", "partition", "masks")
+    asked = [m for m, wanted in modes.items() if wanted]
+    if unknown := [m for m in modes if m not in known]:
+        raise UnsupportedPlanError(f"mode {unknown[0]!r}")
+    if len(asked) > 1:
+        raise UnsupportedPlanError(f"modes {' and '.join(asked)} do not combine")
+    return asked[0] if asked else None
+
+
 def count_rows(df: DataFrame) -> int:
     return df.agg(F.count("*")).first()[0]

@@ -69,8 +69,31 @@ def explain(spark: SparkSession, sql: str) -> Plan:
         text = df._jdf.queryExecution().executedPlan().toString()
     except Exception as e:
         raise UnsupportedPlanError(str(e).split("\n")[0]) from e
-    nodes = Counter(m[1] for line in text.split("\n") if (m := _NODE.match(line)))
-    return Plan(dict(nodes), [(f.name, f.dataType.simpleString()) for f in df.schema], [f"{n}: {_GAPS[n]}" for n in nodes if n in _GAPS])
+    lines = [(m[1], line) for line in text.split("\n") if (m := _NODE.match(line))]
+    nodes = Counter(n for n, _ in lines)
+    gaps = [f"{n}: {_GAPS[n]}" for n in nodes if n in _GAPS]
+    if _gathers_windows(lines):
+        gaps.append("Window: all rows of a window without PARTITION BY come to one task")
+    return Plan(dict(nodes), [(f.name, f.dataType.simpleString()) for f in df.schema], gaps)
+
+
+def _gathers_windows(lines: Sequence[tuple[str, str]]) -> bool:
+    """Whether a window's rows come from an exchange to a single partition."""
+    for at, (node, _) in enumerate(lines):
+        if node == "Window":
+            below = next((line for n, line in lines[at + 1 :] if n not in ("Sort", "Window", "Project", "InputAdapter", "WholeStageCodegen")), "")
+            if "SinglePartition" in below:
+                return True
+    return False
+
+
+def probe(spark: SparkSession, sql: str) -> dict:
+    """Whether a text can run, and what in its plan would not scale, without running it."""
+    try:
+        plan = explain(spark, sql)
+    except UnsupportedPlanError as e:
+        return {"admissible": False, "node_count": 0, "gaps": [str(e)]}
+    return {"admissible": plan.admissible, "node_count": sum(plan.nodes.values()), "gaps": plan.gaps}
 
 
 def coverage(spark: SparkSession, queries: Mapping[str, str]) -> dict[str, Plan | str]:

@@ -189,6 +189,33 @@ def _(t):
     return A.group(t.lineitem, ["l_returnflag"], sd=F.round(F.stddev_samp("l_quantity"), 6), vp=F.round(F.var_pop("l_quantity"), 6), med=F.round(F.percentile("l_quantity", 0.5), 4), r=F.round(F.corr("l_quantity", "l_extendedprice"), 6))
 
 
+@query("a29_quantiles", """SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25, quantile_disc(l_quantity, 0.5) AS mid,
+       mode(l_linenumber) AS mode, round(skewness(l_quantity), 4) AS skew FROM lineitem GROUP BY 1""")
+def _(t):
+    n = F.count("*")
+    return A.group(
+        t.lineitem, ["l_returnflag"], p90=F.round(F.percentile("l_extendedprice", 0.9), 4), p25=F.round(F.percentile("l_extendedprice", 0.25), 4), mid=F.expr("percentile_disc(0.5) within group (order by l_quantity)"),
+        mode=F.mode("l_linenumber"), skew=F.round(F.skewness("l_quantity") * F.sqrt(n * (n - 1)) / (n - 2), 4),
+    )
+
+
+@query("a29_approximate", "SELECT l_returnflag, true AS distinct_close, true AS median_close, true AS quartiles_close FROM lineitem GROUP BY 1")
+def _(t):
+    # sketches of bounded size; held against the exact answers within the errors that they promise
+    p = "l_extendedprice"
+    found = A.group(
+        t.lineitem, ["l_returnflag"], d=F.approx_count_distinct("l_partkey", 0.02), exact=F.count_distinct("l_partkey"), n=F.count("*"), m=F.approx_percentile(p, 0.5, 1000), q=F.approx_percentile(p, [0.25, 0.75], 1000),
+        lo=F.percentile(p, [0.49, 0.24, 0.74]), hi=F.percentile(p, [0.51, 0.26, 0.76]),
+    )
+    within = lambda x, i: (x >= F.floor(c("lo")[i])) & (x <= F.ceil(c("hi")[i]))
+    return found.select("l_returnflag", (F.abs(c("d") - c("exact")) <= 0.08 * c("exact") + 1).alias("distinct_close"), within(c("m"), 0).alias("median_close"), (within(c("q")[0], 1) & within(c("q")[1], 2)).alias("quartiles_close"))
+
+
+@query("a29_boolean_aggregates", "SELECT o_orderpriority, bool_and(o_totalprice > 900) AS every, bool_or(o_orderstatus = 'P') AS some, bit_xor(o_orderkey) AS x, max_by(o_orderkey, (o_totalprice, o_orderkey)) AS dearest, count(DISTINCT (o_orderstatus, o_custkey)) AS pairs FROM orders GROUP BY 1")
+def _(t):
+    return A.group(t.orders, ["o_orderpriority"], every=F.bool_and(c("o_totalprice") > 900), some=F.bool_or(c("o_orderstatus") == "P"), x=F.bit_xor("o_orderkey"), dearest=F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")), pairs=F.count_distinct("o_orderstatus", "o_custkey"))
+
+
 @query("a29_string_agg", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY 1")
 def _(t):
     return A.group(t.nation, ["n_regionkey"], names=F.array_join(F.array_sort(F.collect_list("n_name")), ","))
@@ -269,6 +296,19 @@ def _(t):
     return W.add(t.orders, w, a=F.first("o_totalprice"), z=F.last("o_totalprice"), b=F.nth_value("o_totalprice", 2)).select("o_orderkey", "a", "z", "b")
 
 
+@query("w11_named_windows", "SELECT o_orderkey, count(*) OVER w AS n, round(sum(o_totalprice) OVER (w ORDER BY o_orderkey), 2) AS s FROM orders WINDOW w AS (PARTITION BY o_custkey)")
+def _(t):
+    t.orders.createOrReplaceTempView("orders_w11")
+    return t.spark.sql("SELECT o_orderkey, count(*) OVER w AS n, round(sum(o_totalprice) OVER v, 2) AS s FROM orders_w11 WINDOW w AS (PARTITION BY o_custkey), v AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+
+
+@query("w11_exclude", "SELECT o_orderkey, count(*) OVER w AS n, round(sum(o_totalprice) OVER w, 2) AS s FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW)")
+def _(t):
+    rows = W.add(t.orders, W.over(["o_custkey"], ["o_orderkey"], rows=(-2, 2)), n=F.count("*"), s=F.sum("o_totalprice"))
+    n = c("n") - 1
+    return rows.select("o_orderkey", n.alias("n"), F.when(n > 0, F.round(c("s") - c("o_totalprice"), 2)).alias("s"))
+
+
 @query("w11_ntile_percent", "SELECT p_partkey, ntile(4) OVER w AS q, round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size, p_partkey)")
 def _(t):
     df = W.add(t.part, W.over(["p_brand"], ["p_size", "p_partkey"]), q=F.ntile(4), pr=F.percent_rank(), cd=F.cume_dist())

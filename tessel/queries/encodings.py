@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessel.functions import scalar as S
 from tessel.operators import masks as M
 from tessel.queries.registry import Registry
+from tessel.sources.scan import with_row_id
 
 query = Registry()
 c, lit = F.col, F.lit
@@ -161,11 +162,12 @@ def _(t):
 
 @query("c22_q6_by_masks", "SELECT round(sum(o_totalprice), 2) AS s FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' AND o_totalprice > 60000 AND o_orderstatus = 'F'")
 def _(t):
-    n = _rows(t)
-    dates = M.mask_of(t.orders, F.expr("o_orderdate >= timestamp_ntz'1996-01-01' and o_orderdate < timestamp_ntz'1997-01-01'"), "o_orderkey", n, "rle")
-    price = M.mask_of(t.orders, c("o_totalprice") > 60000, "o_orderkey", n, "plain")
-    status = M.mask_of(t.orders, c("o_orderstatus") == "F", "o_orderkey", n, "plain")
-    return M.select(t.orders, "o_orderkey", dates & price & status).agg(F.round(F.sum("o_totalprice"), 2).alias("s"))
+    # positions are the rows' own; the dates as ranges, the rest as positions, so that no mask holds a row that is not selected
+    rows = with_row_id(t.orders, "pos")
+    n = rows.count()
+    dates = M.mask_of(rows, F.expr("o_orderdate >= timestamp_ntz'1996-01-01' and o_orderdate < timestamp_ntz'1997-01-01'"), "pos", n, "rle")
+    both = M.mask_of(rows, (c("o_totalprice") > 60000) & (c("o_orderstatus") == "F"), "pos", n, "index")
+    return M.select(rows, "pos", dates & both).agg(F.round(F.sum("o_totalprice"), 2).alias("s"))
 
 
 @query("c23_dictionary", "SELECT dense_rank() OVER (ORDER BY v) - 1 AS id, v AS value FROM (SELECT DISTINCT o_orderpriority AS v FROM orders)")

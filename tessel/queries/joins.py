@@ -16,14 +16,26 @@ _INNER = "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_c
 
 
 @query("j01_inner_join", _INNER)
-@query("j02_typed_key_join", _INNER)
 @query("j03_unique_build_join", _INNER)
 @query("j17_join_output", _INNER)
-@query("j20_batch_inner_join", _INNER)
 def _(t):
     return J.equi_join(t.orders.where("o_totalprice > 200000"), t.customer, {"o_custkey": "c_custkey"}).select("o_orderkey", "c_name")
 
 
+@query("j02_typed_key_join", "SELECT o_orderkey, c_name FROM orders JOIN customer ON CAST(o_custkey AS DECIMAL(18,2)) = CAST(c_custkey AS DOUBLE) WHERE o_totalprice > 200000")
+def _(t):
+    # a decimal key against a double one: both sides come to one type before they are compared
+    o = t.orders.where("o_totalprice > 200000").select("o_orderkey", c("o_custkey").cast("decimal(18,2)").alias("k"))
+    return J.equi_join(o, t.customer.select(c("c_custkey").cast("double").alias("c"), "c_name"), {"k": "c"}).select("o_orderkey", "c_name")
+
+
+@query("j20_batch_inner_join", "SELECT o_orderkey, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 200000")
+def _(t):
+    # each Arrow batch is joined where it is with a table of fixed size
+    met = J.equi_join(t.orders.where("o_totalprice > 200000"), t.customer, {"o_custkey": "c_custkey"}).select("o_orderkey", "c_nationkey")
+    return J.batch_join(met, t.nation.select("n_nationkey", "n_name"), "c_nationkey", "n_nationkey").select("o_orderkey", "n_name")
+
+
 @query("j04_multi_key_join", "SELECT a.l_orderkey, a.l_linenumber AS x, b.l_quantity AS q FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey = b.l_partkey WHERE a.l_linenumber = 1 AND b.l_linenumber = 2")
 def _(t):
     a = t.lineitem.where("l_linenumber = 1").select("l_orderkey", "l_partkey", c("l_linenumber").alias("x"))
@@ -177,16 +189,22 @@ def _(t):
     return t.region.crossJoin(t.nation).select("r_name", "n_name")
 
 
-@query("j27_range_join", "SELECT o_orderkey, p_partkey FROM (SELECT * FROM orders WHERE o_orderkey < 400) JOIN part ON p_retailprice BETWEEN o_totalprice / 100 - 1 AND o_totalprice / 100 + 1")
+@query("j27_range_join", "SELECT o_orderkey, p_partkey FROM orders JOIN part ON p_retailprice BETWEEN o_totalprice / 100 - 1 AND o_totalprice / 100 + 1")
 def _(t):
-    r = t.orders.where("o_orderkey < 400").select("o_orderkey", (c("o_totalprice") / 100 - 1).alias("lo"), (c("o_totalprice") / 100 + 1).alias("hi"))
+    r = t.orders.select("o_orderkey", (c("o_totalprice") / 100 - 1).alias("lo"), (c("o_totalprice") / 100 + 1).alias("hi"))
     return J.range_join(t.part.select("p_partkey", "p_retailprice"), r, "p_retailprice", "lo", "hi", 4).select("o_orderkey", "p_partkey")
 
 
-@query("j27_range_join_whole", "SELECT o_orderkey, p_partkey FROM orders JOIN part ON p_retailprice BETWEEN o_totalprice / 100 - 1 AND o_totalprice / 100 + 1")
+@query("j27_positional_join", "SELECT o_orderkey, c_custkey FROM orders POSITIONAL JOIN customer")
 def _(t):
-    r = t.orders.select("o_orderkey", (c("o_totalprice") / 100 - 1).alias("lo"), (c("o_totalprice") / 100 + 1).alias("hi"))
-    return J.range_join(t.part.select("p_partkey", "p_retailprice"), r, "p_retailprice", "lo", "hi", 4).select("o_orderkey", "p_partkey")
+    return J.positional_join(t.orders.select("o_orderkey"), t.customer.select("c_custkey"))
+
+
+@query("j27_interval_join", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'error' AND b.event_type = 'purchase' AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 2 DAY")
+def _(t):
+    x = t.events.where("event_type = 'error'").select(c("event_id").alias("a"), c("user_id").alias("u"), c("ts").alias("at"))
+    y = t.events.where("event_type = 'purchase'").select(c("event_id").alias("b"), "user_id", "ts")
+    return J.equi_join(x, y, {"u": "user_id"}, residual=c("ts").between(c("at"), c("at") + F.expr("interval 2 days"))).select("a", "b")
 
 
 @query("j27_asof_join", "SELECT a.event_id, (SELECT max_by(b.value, (b.ts, b.value)) FROM events b WHERE b.event_type = 'purchase' AND b.user_id = a.user_id AND b.ts <= a.ts) AS last_purchase FROM events a WHERE a.event_type = 'error'")

@@ -8,6 +8,9 @@ from tessel.functions import scalar as S
 from tessel.operators import relational as R
 from tessel.queries.registry import Registry
 from tessel.sources import scan as X
+from tessel.sources.files import read_files, write_files
+from tessel.sources.shared import new_path
+from tessel.sources.zones import read_model, zone_map
 
 query = Registry()
 c, lit = F.col, F.lit
@@ -35,15 +38,14 @@ def _(t):
     return X.map_batches(rows, lambda b: pa.RecordBatch.from_arrays([b.column(0), pc.multiply(b.column(1), 2.0)], names=["o_orderkey", "twice"]), "o_orderkey long, twice double")
 
 
-@query("sc04_chunk_scan", "SELECT CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 1000) AS BIGINT) AS chunk, 0 AS x FROM orders")
+@query("sc04_chunk_scan", "SELECT o_orderkey, CAST(floor((row_number() OVER () - 1) / 1000) AS BIGINT) AS chunk FROM orders")
 def _(t):
-    # chunk sizes do not depend on which rows a chunk holds
-    return X.with_chunk(t.orders.select("o_orderkey"), 1000).select("chunk", lit(0).alias("x"))
+    return X.with_chunk(t.orders.select("o_orderkey"), 1000)
 
 
-@query("sc05_range_scan", "SELECT count(*) AS n FROM (SELECT 1 FROM orders LIMIT 50 OFFSET 100)")
+@query("sc05_range_scan", "SELECT o_orderkey, o_totalprice FROM orders LIMIT 50 OFFSET 100")
 def _(t):
-    return X.scan(t.spark, f"{t.folder}/orders.parquet", ["o_orderkey"], rows=(100, 150)).agg(F.count("*").alias("n"))
+    return X.scan(t.spark, f"{t.folder}/orders.parquet", ["o_orderkey", "o_totalprice"], rows=(100, 150))
 
 
 @query("sc06_count_scan", "SELECT count(*) AS n FROM lineitem")
@@ -51,15 +53,14 @@ def _(t):
     return t.lineitem.agg(F.count("*").alias("n"))
 
 
-@query("sc07_filtered_row_ids", "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F'")
+@query("sc07_filtered_row_ids", "SELECT rowid FROM (SELECT row_number() OVER () - 1 AS rowid, o_orderstatus FROM orders) WHERE o_orderstatus = 'F'")
 def _(t):
-    ids = X.with_row_id(t.orders).where("o_orderstatus = 'F'").select("rowid")
-    return ids.agg(F.countDistinct("rowid").alias("n"))
+    return X.with_row_id(t.orders).where("o_orderstatus = 'F'").select("rowid")
 
 
-@query("sc08_row_id", "SELECT row_number() OVER () - 1 AS rowid FROM orders")
+@query("sc08_row_id", "SELECT o_orderkey, row_number() OVER () - 1 AS rowid FROM orders")
 def _(t):
-    return X.with_row_id(t.orders.select("o_orderkey")).select(c("rowid"))
+    return X.with_row_id(t.orders.select("o_orderkey"))
 
 
 @query("sc09_dummy_scan", "SELECT CAST(1 AS INTEGER) AS one, 'a' AS letter")
@@ -96,7 +97,7 @@ def _(t):
 
 @query("sc17_resident_table", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1 UNION ALL SELECT l_linestatus, count(*) FROM lineitem GROUP BY 1")
 def _(t):
-    df = t.lineitem.select("l_returnflag", "l_linestatus").persist()
+    df = X.resident(t.lineitem.select("l_returnflag", "l_linestatus"), "lineitem flags")
     return df.groupBy("l_returnflag").agg(F.count("*").alias("n")).union(df.groupBy("l_linestatus").agg(F.count("*").alias("n")))
 
 
@@ -113,11 +114,52 @@ def _(t):
     return run(t.spark, sql="SELECT r_name FROM region WHERE r_regionkey < 2")
 
 
-@query("sc25_file_readers", "SELECT r_regionkey, r_name FROM region")
+_ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, nullif(o_orderpriority, '5-LOW') AS priority FROM orders"
+
+
+def _reread(t, kind, **options):
+    """The orders written as files of a kind and read again by their schema."""
+    df = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", F.nullif("o_orderpriority", lit("5-LOW")).alias("priority"))
+    path = new_path(t.spark, kind)
+    write_files(df, path, kind, **options)
+    return read_files(t.spark, path, kind, None if kind in ("orc", "parquet") else df.schema, **options)
+
+
+@query("sc25_csv_files", _ORDERS)
+def _(t):
+    return _reread(t, "csv", header=True, compression="gzip")
+
+
+@query("sc25_json_files", _ORDERS)
+def _(t):
+    return _reread(t, "json")
+
+
+@query("sc25_orc_files", _ORDERS)
+def _(t):
+    return _reread(t, "orc")
+
+
+@query("sc25_parquet_files", _ORDERS + " WHERE o_orderkey > 500")
+def _(t):
+    return _reread(t, "parquet").where("o_orderkey > 500")
+
+
+@query("sc25_text_lines", "SELECT r_name AS value FROM region")
+def _(t):
+    path = new_path(t.spark, "text")
+    write_files(t.region.select("r_name"), path, "text")
+    return read_files(t.spark, path, "text")
+
+
+@query("sc25_broken_lines", "SELECT r_regionkey, CASE WHEN r_regionkey = 2 THEN NULL ELSE r_name END AS r_name, r_regionkey = 2 AS broken FROM region")
 def _(t):
-    lines = t.region.select(F.to_csv(F.struct("r_regionkey", "r_name")).alias("line"))
-    parts = F.from_csv("line", lit("k int, n string"))
-    return lines.select(parts.alias("p")).select(c("p.k").alias("r_regionkey"), c("p.n").alias("r_name"))
+    # a line that does not fit the schema gives nulls and is told apart
+    path = new_path(t.spark, "broken")
+    line = F.when(c("r_regionkey") == 2, lit('{"r_regionkey": 2, "r_name"')).otherwise(F.to_json(F.struct("r_regionkey", "r_name")))
+    write_files(t.region.select(line.alias("value")), path, "text")
+    rows = read_files(t.spark, path, "json", "r_regionkey int, r_name string, _corrupt_record string")
+    return rows.select(F.coalesce("r_regionkey", F.regexp_extract("_corrupt_record", "([0-9]+)", 1).cast("int")).alias("r_regionkey"), "r_name", c("_corrupt_record").isNotNull().alias("broken"))
 
 
 @query("sc26_selectivity", "SELECT count(*) AS rows, count(*) FILTER (l_discount >= 0.05 AND l_quantity < 24) AS selected, round(count(*) FILTER (l_discount >= 0.05 AND l_quantity < 24) / count(*), 6) AS share FROM lineitem")
@@ -125,6 +167,22 @@ def _(t):
     return X.selectivity(t.lineitem, (c("l_discount") >= 0.05) & (c("l_quantity") < 24)).withColumn("share", F.round("share", 6))
 
 
+_ZONES = "SELECT CAST(floor((row_number() OVER () - 1) / 500) AS BIGINT) AS zone, * FROM orders"
+
+
+@query("sc27_zone_map", f"SELECT zone, count(*) AS rows, min(o_orderkey) AS min_o_orderkey, max(o_orderkey) AS max_o_orderkey, min(o_totalprice) AS min_o_totalprice, max(o_totalprice) AS max_o_totalprice FROM ({_ZONES}) GROUP BY zone")
+def _(t):
+    return zone_map(t.orders.select("o_orderkey", "o_totalprice", "_metadata"), ["o_orderkey", "o_totalprice"], 500)
+
+
+@query("sc27_zones_read", f"""SELECT count(*) AS zones, count(*) FILTER (hit) AS zones_read, CAST(sum(n) AS BIGINT) AS rows, CAST(coalesce(sum(n) FILTER (hit), 0) AS BIGINT) AS rows_read,
+       CAST(coalesce(sum(n) FILTER (hit), 0) AS DOUBLE) / (SELECT nullif(count(*), 0) FROM orders WHERE o_orderkey BETWEEN 300 AND 700) AS amplification
+       FROM (SELECT count(*) AS n, max(o_orderkey) >= 300 AND min(o_orderkey) <= 700 AS hit FROM ({_ZONES}) GROUP BY zone)""")
+def _(t):
+    zones = zone_map(t.orders.select("o_orderkey", "_metadata"), ["o_orderkey"], 500)
+    return read_model(zones, {"o_orderkey": (300, 700)}, t.orders.where("o_orderkey between 300 and 700").count())
+
+
 @query("pf01_projection", "SELECT o_orderkey, o_totalprice * 0.5 AS half, o_orderstatus || '-' || o_orderpriority AS tag FROM orders")
 def _(t):
     return R.project(t.orders, o_orderkey=c("o_orderkey"), half=c("o_totalprice") * 0.5, tag=F.concat("o_orderstatus", lit("-"), "o_orderpriority"))
@@ -335,3 +393,65 @@ def _(t):
 def _(t):
     e = c("event_type")
     return t.events.select("event_id", F.upper(e).alias("u"), F.char_length(e).cast("long").alias("n"), F.reverse(e).alias("r"), F.regexp_replace(e, "[aeiou]", "*").alias("x"), F.floor("value").cast("long").alias("f"), F.abs("value").alias("a"), F.get_json_object("props", "$.k").cast("long").alias("k"), F.aggregate(F.array("event_id", lit(1).cast("long")), lit(0).cast("long"), lambda a, b: a + b).alias("s"))
+
+
+@query("f20_json", """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.none') AS missing,
+       to_json({'id': event_id, 'kind': event_type}) AS packed FROM events""")
+def _(t):
+    fields = F.from_json("props", "k long, none string")
+    return t.events.select("event_id", fields["k"].alias("k"), fields["none"].alias("missing"), F.to_json(F.struct(c("event_id").alias("id"), c("event_type").alias("kind"))).alias("packed"))
+
+
+@query("f20_arrays", """SELECT o_custkey, len(x) AS n, x[1] AS first, list_contains(x, 'F') AS has, array_to_string(list_sort(list_distinct(x)), '') AS kinds,
+       len(list_filter(x, lambda s: s = 'O')) AS open, array_to_string(list_transform(list_sort(x), lambda s: lower(s)), '') AS low, array_to_string(list_slice(list_sort(x), 1, 3), '') AS head
+       FROM (SELECT o_custkey, list(o_orderstatus ORDER BY o_orderkey) AS x FROM orders GROUP BY 1)""")
+def _(t):
+    pairs = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus")))
+    x = c("x")
+    rows = t.orders.groupBy("o_custkey").agg(F.transform(pairs, lambda p: p["o_orderstatus"]).alias("x"))
+    return rows.select(
+        "o_custkey", F.size(x).cast("long").alias("n"), F.element_at(x, 1).alias("first"), F.array_contains(x, "F").alias("has"), F.array_join(F.array_sort(F.array_distinct(x)), "").alias("kinds"),
+        F.size(F.filter(x, lambda s: s == "O")).cast("long").alias("open"), F.array_join(F.transform(F.array_sort(x), F.lower), "").alias("low"), F.array_join(F.slice(F.array_sort(x), 1, 3), "").alias("head"),
+    )
+
+
+@query("f20_unnest", "SELECT n_regionkey, unnest(names) AS name FROM (SELECT n_regionkey, list(n_name) AS names FROM nation GROUP BY 1)")
+def _(t):
+    return t.nation.groupBy("n_regionkey").agg(F.collect_list("n_name").alias("names")).select("n_regionkey", F.explode("names").alias("name"))
+
+
+@query("f20_maps", """SELECT r_regionkey, m['a'] AS a, m['none'] AS missing, len(map_keys(m)) AS n, array_to_string(list_sort(map_keys(m)), ',') AS keys
+       FROM (SELECT r_regionkey, MAP {'a': r_name, 'b': upper(r_name)} AS m FROM region)""")
+def _(t):
+    m = c("m")
+    rows = t.region.select("r_regionkey", F.create_map(lit("a"), "r_name", lit("b"), F.upper("r_name")).alias("m"))
+    return rows.select("r_regionkey", F.try_element_at(m, lit("a")).alias("a"), F.try_element_at(m, lit("none")).alias("missing"), F.size(F.map_keys(m)).cast("long").alias("n"), F.array_join(F.array_sort(F.map_keys(m)), ",").alias("keys"))
+
+
+@query("f20_intervals", """SELECT o_orderkey, CAST(o_orderdate + INTERVAL 3 MONTH AS DATE) AS later, CAST(o_orderdate - INTERVAL 40 DAY AS DATE) AS before, o_orderdate + INTERVAL 90 MINUTE AS soon,
+       date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS days, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter,
+       CAST(dayofweek(o_orderdate) AS BIGINT) AS weekday, last_day(CAST(o_orderdate AS DATE)) AS last, strftime(o_orderdate, '%d/%m/%Y') AS said FROM orders""")
+def _(t):
+    d = c("o_orderdate")
+    return t.orders.select(
+        "o_orderkey", (d + F.expr("interval 3 months")).cast("date").alias("later"), (d - F.expr("interval 40 days")).cast("date").alias("before"), (d + F.expr("interval 90 minutes")).alias("soon"),
+        F.datediff(d.cast("date"), F.expr("date'1995-01-01'")).cast("long").alias("days"), F.trunc(d.cast("date"), "month").alias("month"), F.trunc(d.cast("date"), "quarter").alias("quarter"),
+        (F.dayofweek(d) - 1).cast("long").alias("weekday"), F.last_day(d.cast("date")).alias("last"), F.date_format(d, "dd/MM/yyyy").alias("said"),
+    )
+
+
+@query("f20_math", """SELECT l_orderkey, l_linenumber, round(sqrt(l_extendedprice), 6) AS root, round(ln(l_quantity), 6) AS ln, round(power(l_discount, 2), 8) AS square, sign(l_tax - 0.04) AS side,
+       CAST(ceil(l_extendedprice) AS BIGINT) AS up, greatest(l_tax, l_discount) AS most, least(l_tax, l_discount) AS least FROM lineitem""")
+def _(t):
+    side = F.when(c("l_tax") - 0.04 > 0, 1).when(c("l_tax") - 0.04 < 0, -1).otherwise(0)
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.round(F.sqrt("l_extendedprice"), 6).alias("root"), F.round(F.log("l_quantity"), 6).alias("ln"), F.round(F.pow("l_discount", lit(2)), 8).alias("square"), side.alias("side"), F.ceil("l_extendedprice").alias("up"), F.greatest("l_tax", "l_discount").alias("most"), F.least("l_tax", "l_discount").alias("least"))
+
+
+@query("f20_strings", """SELECT c_custkey, split_part(c_name, '#', 2) AS digits, lpad(CAST(c_nationkey AS VARCHAR), 4, '0') AS padded, position('#' IN c_name) AS at, replace(c_mktsegment, 'BUILD', 'Re') AS swapped,
+       trim('  ' || c_mktsegment || ' ') AS bare, c_mktsegment || ':' || c_custkey AS tag, regexp_extract(c_name, '([0-9]+)', 1) AS number, repeat('ab', 2) AS twice, md5(c_name) AS digest FROM customer""")
+def _(t):
+    n, m = c("c_name"), c("c_mktsegment")
+    return t.customer.select(
+        "c_custkey", F.split_part(n, lit("#"), lit(2)).alias("digits"), F.lpad(c("c_nationkey").cast("string"), 4, "0").alias("padded"), F.instr(n, "#").cast("long").alias("at"), F.replace(m, lit("BUILD"), lit("Re")).alias("swapped"),
+        F.trim(F.concat(lit("  "), m, lit(" "))).alias("bare"), F.concat(m, lit(":"), c("c_custkey").cast("string")).alias("tag"), F.regexp_extract(n, "([0-9]+)", 1).alias("number"), F.repeat(lit("ab"), 2).alias("twice"), F.md5(n).alias("digest"),
+    )

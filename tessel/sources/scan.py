@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
+from itertools import accumulate
 from operator import and_
 
 import pyarrow as pa
@@ -16,15 +17,44 @@ ROW_ID = "rowid"
 
 
 def scan(spark: SparkSession, path: str, columns: Sequence[str] | None = None, filters: Sequence[Column] = (), rows: tuple[int, int] | None = None) -> DataFrame:
-    """Read ``columns`` of the rows that pass all ``filters``, of the half-open range of row positions ``rows`` if given."""
-    df = with_row_id(spark.read.parquet(path)) if rows else spark.read.parquet(path)
+    """Read ``columns`` of the rows that pass all ``filters``, of the half-open range of row positions ``rows`` if given.
+
+    Of a range only the files that hold some of it are read: a count per file, which reads no column, tells which.
+    """
+    df = spark.read.parquet(path)
     if rows:
-        df = df.where(F.col(ROW_ID).between(rows[0], rows[1] - 1)).drop(ROW_ID)
+        counts = df.select(F.col("_metadata.file_path").alias("file")).groupBy("file").count().orderBy("file").collect()
+        ends = list(accumulate(r["count"] for r in counts))
+        parts = [(r["file"], rows[0] - (end - r["count"]), rows[1] - (end - r["count"])) for r, end in zip(counts, ends, strict=True) if rows[0] < end and rows[1] > end - r["count"]]
+        whole, index = df, F.col("_metadata.row_index")
+        df = whole.limit(0) if not parts else None
+        for file, first, last in parts:
+            # the files between the first and the last are read whole
+            part = spark.read.schema(whole.schema).parquet(file).where((index >= first) & (index < last))
+            df = part if df is None else df.unionByName(part)
     if filters:
         df = df.where(reduce(and_, filters))
     return df.select(*columns) if columns else df
 
 
+_resident: dict[tuple[str, str], DataFrame] = {}
+
+
+def resident(df: DataFrame, name: str) -> DataFrame:
+    """Keep a table in the executors' memory, on disk where that is full. What the name held before is released, so a table that is asked for again and again is held once."""
+    key = (df.sparkSession.sparkContext.applicationId, name)
+    release(df.sparkSession, name)
+    _resident[key] = df.persist()
+    return _resident[key]
+
+
+def release(spark: SparkSession, name: str | None = None) -> None:
+    """Give up what :func:`resident` holds under a name, or all."""
+    app = spark.sparkContext.applicationId
+    for key in [k for k in _resident if k[0] == app and name in (None, k[1])]:
+        _resident.pop(key).unpersist()
+
+
 def with_row_id(df: DataFrame, name: str = ROW_ID) -> DataFrame:
     """Add dense positions 0, 1, ... over a Parquet scan.
 

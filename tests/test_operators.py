@@ -17,6 +17,7 @@ from tessel.operators.aggregate import Agg
 from tessel.plans.pipeline import Pipeline
 from tessel.sources import scan as X
 from tessel.sources import sinks
+from tessel.sources.files import read_files, write_files
 
 c = F.col
 
@@ -272,3 +273,58 @@ def test_sources_and_sinks(spark, tmp_path):
         X.from_columns(spark, {"a": [1], "b": []})
     with pytest.raises(UnsupportedPlanError):
         R.rename(df, ["a", "b", "c", "d"])
+
+
+def test_files_keep_their_rows(spark, tmp_path):
+    rows = [(1, "a,b", 1.5, datetime.date(2020, 1, 2)), (2, None, None, None), (3, "", float("inf"), datetime.date(1999, 12, 31)), (None, 'say "x"\nnext', -0.25, None)]
+    df = spark.createDataFrame(rows, "k long, s string, d double, day date")
+    for kind, options in (("parquet", {}), ("orc", {}), ("json", {}), ("csv", {"header": True, "multiLine": True, "escape": '"'}), ("csv", {"sep": "|", "multiLine": True, "escape": '"', "compression": "gzip"})):
+        path = str(tmp_path / f"{kind}{len(options)}")
+        write_files(df, path, kind, **options)
+        back = read_files(spark, path, kind, df.schema if kind in ("json", "csv") else None, **options)
+        assert sorted(map(str, back.collect())) == sorted(map(str, df.collect())), kind
+        with pytest.raises(Exception, match="exist"):
+            write_files(df, path, kind, **options)
+    for bad in (("csv", None), ("json", None), ("xml", "k long")):
+        with pytest.raises(UnsupportedPlanError):
+            read_files(spark, str(tmp_path), *bad)
+
+
+def test_a_range_reads_only_its_files(spark, tmp_path):
+    spark.range(1000).repartitionByRange(10, "id").sortWithinPartitions("id").write.parquet(str(tmp_path / "ten"))
+    path = str(tmp_path / "ten")
+    every = [r[0] for r in X.scan(spark, path).select("*", "_metadata.file_path", "_metadata.row_index").orderBy("file_path", "row_index").collect()]
+    for first, last in ((0, 1), (95, 305), (990, 2000), (5, 5), (3000, 4000), (0, 1000)):
+        part = X.scan(spark, path, rows=(first, last))
+        assert sorted(r[0] for r in part.collect()) == sorted(every[first:last])
+        if last <= 305 and first < last:
+            assert len(part.inputFiles()) <= 4
+
+
+def test_positional_and_batch_join(spark, tmp_path):
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "a"))
+    spark.range(10, 13).select(F.col("id").alias("b")).coalesce(1).write.parquet(str(tmp_path / "b"))
+    got = J.positional_join(spark.read.parquet(str(tmp_path / "a")), spark.read.parquet(str(tmp_path / "b"))).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(0, 10), (1, 11), (2, 12), (3, None), (4, None)]))
+    left = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z"), (1, "w")], "k long, v string")
+    right = spark.createDataFrame([(1, 1.5), (1, 2.5), (None, 9.0), (7, 0.0)], "r long, d double")
+    assert sorted(map(tuple, J.batch_join(left, right, "k", "r").collect())) == [(1, "w", 1, 1.5), (1, "w", 1, 2.5), (1, "x", 1, 1.5), (1, "x", 1, 2.5)]
+    assert J.batch_join(left, right.limit(0), "k", "r").count() == 0
+    for bad in (right.withColumnRenamed("d", "v"), spark.range(J.BATCH_SIDE + 1).withColumnRenamed("id", "r")):
+        with pytest.raises(UnsupportedPlanError):
+            J.batch_join(left, bad, "k", "r")
+
+
+def test_resident_tables_are_released(spark):
+    df = X.resident(spark.range(10), "ten")
+    again = X.resident(spark.range(20), "ten")
+    assert not df.is_cached and again.is_cached and again.count() == 20
+    X.release(spark)
+    assert not again.is_cached
+
+
+def test_guard_fails_where_it_must(spark):
+    df = spark.createDataFrame([(1,), (-1,)], "k long")
+    assert df.where("k > 0").select(S.guard(F.col("k") >= 0, F.col("k"), "negative key")).collect() == [(1,)]
+    with pytest.raises(Exception, match="negative key"):
+        df.select(S.guard(F.col("k") >= 0, F.col("k"), "negative key")).collect()

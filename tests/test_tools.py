@@ -8,6 +8,7 @@ from tessel import cli
 from tessel.errors import UnsupportedPlanError
 from tessel.operators.aggregate import Agg
 from tessel.plans import runner
+from tessel.plans.pipeline import one_mode
 from tessel.queries.tpch import ORACLE_SQL, SPARK_SQL
 from tessel.session import register
 from tessel.streaming import rollup
@@ -37,6 +38,32 @@ def test_explain_and_coverage(spark):
     assert runner.label(SPARK_SQL["tpch_q03"].upper().replace("\n", "  ").lower()) == "tpch_q03" and runner.label("SELECT 1") is None
 
 
+def test_probe_tells_what_does_not_scale(spark):
+    register(spark, SF)
+    assert runner.probe(spark, "SELECT rank() OVER (PARTITION BY n_regionkey ORDER BY n_name) FROM nation")["admissible"]
+    for sql, said in (("SELECT rank() OVER (ORDER BY o_orderkey) FROM orders", "one task"), ("SELECT nothing FROM nowhere", "nowhere"), ("SELECT count(*) FROM orders a JOIN orders b ON a.o_orderkey < b.o_orderkey", "every row")):
+        found = runner.probe(spark, sql)
+        assert not found["admissible"] and said in found["gaps"][0]
+
+
+def test_modes_do_not_combine():
+    assert one_mode(scan_chunk=100, partition=False) == "scan_chunk" and one_mode() is None
+    for bad in ({"scan_chunk": 1, "masks": True}, {"partition": True, "masks": True}, {"other": 1}):
+        with pytest.raises(UnsupportedPlanError):
+            one_mode(**bad)
+
+
+def test_leaner_plans(spark):
+    """Order lines are read once where the plain text reads them more often, and cut down before they are grouped."""
+    register(spark, SF)
+    plan = lambda n: spark.sql(SPARK_SQL[n])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan("tpch_q21").count("Relation") == 3
+    for n in ("tpch_q02", "tpch_q20"):
+        lines = plan(n).split("\n")
+        at = next(i for i, line in enumerate(lines) if "l_suppkey" in line and "Aggregate [l_partkey" in line)
+        assert "LeftSemi" in "".join(lines[at : at + 4])
+
+
 def test_validate(spark):
     register(spark, SF)
     n, worst = runner.validate(spark, SF, SPARK_SQL["tpch_q01"], ORACLE_SQL["tpch_q01"])
