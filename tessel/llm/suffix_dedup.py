@@ -111,8 +111,21 @@ def _surroundings(text: bytes, at: int, length: int, gram: int) -> tuple[bytes,
     return text[lo : at + length], at - lo
 
 
+def _combined(gram: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """How many equal pairs there are, at each one's first place; 0 at the others."""
+    order = np.lexsort((around, gram))
+    first = np.flatnonzero(np.append(True, (gram[order[1:]] != gram[order[:-1]]) | (around[order[1:]] != around[order[:-1]])))[: len(order)]
+    n = np.zeros(len(gram), dtype=np.int64)
+    n[order[first]] = np.diff(np.append(first, len(order)))
+    return n
+
+
 def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """``(gram, around, rid, pos)``: each anchor with the hash of its surroundings."""
+    """``(gram, around, rid, pos, n)``: each anchor with the hash of its surroundings.
+
+    Equal ones of some neighbouring documents are one row with their number ``n``, and rows with n = 0 for the others: a line that fills
+    documents, or a copy beside its original, is known to repeat where it stands.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
@@ -131,15 +144,15 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     for d, p in zip(of.tolist(), pos.tolist(), strict=True):
                         piece, left = _surroundings(texts[group[d]], p, length, gram)
                         around.append(xxhash.xxh3_64_intdigest(piece, left))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view(np.int64)), pa.array(np.array(around, dtype=np.uint64).view(np.int64)), pa.array(rid[np.array(group)][of]), pa.array(pos)], names=["gram", "around", "rid", "pos"]
-                    )
+                    seen = h.view(np.int64), np.array(around, dtype=np.uint64).view(np.int64)
+                    columns = [*seen, rid[np.array(group)][of], pos, _combined(*seen)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "around", "rid", "pos", "n"])
                     group, size = [], 0
                 if i is not None:
                     group.append(i)
                     size += len(texts[i])
 
-    return docs.select("rid", "text").mapInArrow(run, "gram long, around long, rid long, pos long")
+    return docs.select("rid", "text").mapInArrow(run, "gram long, around long, rid long, pos long, n long")
 
 
 def _order(keys: np.ndarray) -> np.ndarray:
@@ -354,7 +367,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = numbered(df, "__rid").select(F.col("__rid").alias("rid"), F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     found = durable(_anchor_rows(docs, length, gram), "anchors", texts=True)
     spot = F.struct("rid", "pos")
-    classes = durable(found.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(spot).alias("at")).select("gram", "around", "n", "at.rid", "at.pos"), "anchor-classes", files_per_core=4)
+    classes = durable(found.where("n > 0").groupBy("gram", "around").agg(F.sum("n").alias("n"), F.min(spot).alias("at")).select("gram", "around", "n", "at.rid", "at.pos"), "anchor-classes", files_per_core=4)
     various = classes.groupBy("gram").agg(F.count("*").alias("d")).where("d > 1")
     asked = durable(classes.join(various, "gram").groupBy("rid").agg(F.collect_list(F.struct("gram", "n", "pos", "d")).alias("asked")), "asked", files_per_core=4)
 
@@ -371,7 +384,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = _with_any(docs.select("rid", "text"), asked.select("rid"), pages)
     surroundings = durable(texts.join(asked, "rid").select("rid", "text", "asked").mapInArrow(fetch, "gram long, n long, pos long, d long, rid long, left long, piece binary"), "surroundings", files_per_core=4, texts=True)
     settled = _settle(surroundings.where(F.col("d") <= HOT_GRAM), length, gram).union(_settle_hot(surroundings.where(F.col("d") > HOT_GRAM), length, gram))
-    whole = found.join(classes.where("n > 1").select("gram", "around"), ["gram", "around"]).select("rid", (F.col("pos") - (length - gram)).alias("first"), F.col("pos").alias("last"))
+    again = found.where("n = 1").join(classes.where("n > 1").select("gram", "around"), ["gram", "around"]).select("rid", "pos").union(found.where("n <> 1").select("rid", "pos"))
+    whole = again.select("rid", (F.col("pos") - (length - gram)).alias("first"), F.col("pos").alias("last"))
     spans = durable(settled.union(whole).groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans", files_per_core=4)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

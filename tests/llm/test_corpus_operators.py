@@ -372,6 +372,35 @@ def test_suffix_dedup(spark, hot, monkeypatch):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_suffix_dedup_at_full_length(spark):
+    """Windows of 200 bytes and grams of 32, as the query has them: shared passages, periodic texts, near copies, and a document cut in pieces."""
+    rng = random.Random(10)
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice([199, 200, 201, 450]))) for _ in range(8)]
+    rows = [(0, None), (1, "x" * 199), (2, "x" * 200), (3, "y" * 700), (4, "line é " * 300), (5, "line é " * 40 + "end")]
+    for i in range(10, 90):
+        noise = lambda: "".join(rng.choice("ijklmnop") for _ in range(rng.randrange(150)))
+        body = rng.choice(passages)
+        if rng.random() < 0.5:
+            at = rng.randrange(len(body))
+            body = body[:at] + "Z" + body[at + 1 :]
+        rows.append((i, noise() + body + noise() + (rng.choice(passages)[:150] if i % 3 else "")))
+    rows += [(90, rows[20][1]), (91, rows[20][1])]
+    got = suffix_dedup.remove_repeats(docs_of(spark, rows)).collect()
+    want = [(i, *w) for (i, _), w in zip(rows, slow_repeats([(t or "").encode() for _, t in rows], 200), strict=True)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and sum(w[3] for w in want) > 20
+
+
+def test_very_long_documents_in_pieces(monkeypatch):
+    """The anchors of a document that is read in overlapping pieces are those of the whole."""
+    rng = np.random.default_rng(3)
+    text = bytes(rng.integers(97, 100, 40_000).astype(np.uint8))
+    _, pos, h = suffix_dedup.anchors([text])
+    monkeypatch.setattr(suffix_dedup, "_INDEX_BITS", 13)
+    at, hashes = suffix_dedup.document_anchors(text)
+    # a tie between equal grams may fall on either side of a cut; every window has its anchor
+    assert set(at) <= set(range(len(text))) and set(pos) - set(at) == set() and (hashes[np.searchsorted(at, pos)] == h).all()
+
+
 def levels_of(rng, rounds=9):
     """Batches of members with short alphabets, and all of them."""
     index, taken = suffix_dedup.SuffixLevels(40, 8), []
