@@ -2,67 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
+import json
 import math
-import tempfile
-import uuid
+import time
+from urllib.parse import quote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-_roots: dict[str, str] = {}
-_written: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that every executor and the driver can reach.
-
-    It is ``spark.checkpoint.dir`` of the session. Only a local session without
-    that setting (tests) gets a temporary folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-    app = spark.sparkContext.applicationId
-    if app not in _roots:
-        _roots[app] = "file://" + tempfile.mkdtemp(prefix="tessel-")
-    return _roots[app]
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Delete a path through Hadoop's file system, so that any store works."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        if spark.sparkContext._jsc is not None:
-            delete_path(spark, path)
-    except Exception:  # noqa: BLE001  the JVM may be gone when Python exits
-        pass
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder, in a folder of this application; deleted by :func:`discard` or when Python exits.
-
-    What a driver leaves that dies before is in the folder that its application id names.
-    """
-    path = f"{shared_root(spark)}/tessel/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
-    atexit.register(_forget, spark, path)
-    return path
-
-
-def discard(spark: SparkSession) -> None:
-    """Delete all intermediate tables so far; results that are not written yet cannot be read afterwards."""
-    while _written:
-        _forget(spark, _written.pop())
+from tessel.sources.shared import discard, new_path
 
+__all__ = ["Versions", "bounded_sample", "discard", "durable", "encoded", "new_path", "numbered", "small_batches", "table", "whole_text"]
 
 #: Rows of an Arrow batch of whole texts; Spark's own 10,000 are tens of MB, held by the JVM and by Python at a time.
 TEXT_BATCH = 1000
@@ -142,3 +94,80 @@ def bounded_sample(df: DataFrame, n: int, *columns: str) -> DataFrame:
     if share < 1:
         df = df.where(key < F.lit(int(share * 2**64) - 2**63))
     return df.orderBy(key, *columns).limit(n)
+
+
+def encoded(batch_id: str) -> str:
+    """A file name for any text; none starts with a sign that hides files."""
+    return "b" + quote(batch_id, safe="")
+
+
+class Versions:
+    """A folder whose state is a chain of small manifests, one a version; each names the batch that made it.
+
+    What a writer leaves that stops before its manifest is under a name of its own that nothing reads.
+    """
+
+    EMPTY: dict = {}
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _fs(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{path}")
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _exists(self, path: str) -> bool:
+        fs, at = self._fs(path)
+        return fs.exists(at)
+
+    def _names(self, path: str) -> list[str]:
+        fs, at = self._fs(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+    def _create(self, path: str, text: str) -> bool:
+        """Write a small file that is not there yet; False if it is."""
+        fs, at = self._fs(path)
+        try:
+            out = fs.create(at, False)
+        except Py4JJavaError:
+            if fs.exists(at):
+                return False
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
+    def _manifest(self, name: str) -> dict | None:
+        """A version's manifest; None if its writer stopped while writing it."""
+        for _ in range(10):
+            fs, at = self._fs(f"versions/{name}")
+            source = fs.open(at)
+            try:
+                size = fs.getFileStatus(at).getLen()
+                return json.loads(bytes(source.readNBytes(size)).decode())
+            except ValueError:
+                time.sleep(0.2)
+            finally:
+                source.close()
+        return None
+
+    def _latest(self) -> dict:
+        for name in reversed(self._names("versions")):
+            found = self._manifest(name)
+            if found:
+                # a writer may have stopped between its manifest and its mark
+                self._create(f"applied/{encoded(found['batch'])}", "")
+                return found
+            fs, at = self._fs(f"versions/{name}")
+            fs.delete(at, False)
+        return self.EMPTY
+
+    def _applied(self, batch_id: str) -> bool:
+        return self._exists(f"applied/{encoded(batch_id)}")
+
+    def _publish(self, manifest: dict) -> bool:
+        """Make a manifest the version that it names; False if another writer has made one of that number."""
+        if not self._create(f"versions/{manifest['version']:012d}", json.dumps(manifest)):
+            return False
+        self._create(f"applied/{encoded(manifest['batch'])}", "")
+        return True

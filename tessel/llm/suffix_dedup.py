@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, numbered, table, whole_text
+from .common import Versions, durable, numbered, table, whole_text
 from .exact_dedup import BITMAP_PAGES, _flag, _survivor_bitmap
 
 LENGTH = 200
@@ -355,17 +356,8 @@ def _kept(text: bytes, first: np.ndarray, last: np.ndarray) -> tuple[int, int, b
     return len(text) - len(rest), len(begin), rest
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, pages: int = BITMAP_PAGES) -> DataFrame:
-    """``(id, n_bytes, n_removed, n_spans, kept_sha256)``, and what is left of the text if asked for, one row per input row.
-
-    Strings are judged on the input's UTF-8 bytes and within documents; what is
-    left may end within a character, so the kept text is binary.
-
-    Cases: null, empty and shorter texts - nothing removed; repeated rows - documents that repeat each other;
-    null ids - rows like any other; texts of any length are read whole; empty table - no rows; extra columns are ignored.
-    """
-    docs = numbered(df, "__rid").select(F.col("__rid").alias("rid"), F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
-    found = durable(_anchor_rows(docs, length, gram), "anchors", texts=True)
+def _repeats(docs: DataFrame, found: DataFrame, length: int, gram: int, pages: int) -> DataFrame:
+    """``(rid, first, last)``: ranges of the starts of strings that stand more than once; those of whole surroundings may reach beyond their document."""
     spot = F.struct("rid", "pos")
     classes = durable(found.where("n > 0").groupBy("gram", "around").agg(F.sum("n").alias("n"), F.min(spot).alias("at")).select("gram", "around", "n", "at.rid", "at.pos"), "anchor-classes", files_per_core=4)
     various = classes.groupBy("gram").agg(F.count("*").alias("d")).where("d > 1")
@@ -386,7 +378,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     settled = _settle(surroundings.where(F.col("d") <= HOT_GRAM), length, gram).union(_settle_hot(surroundings.where(F.col("d") > HOT_GRAM), length, gram))
     again = found.where("n = 1").join(classes.where("n > 1").select("gram", "around"), ["gram", "around"]).select("rid", "pos").union(found.where("n <> 1").select("rid", "pos"))
     whole = again.select("rid", (F.col("pos") - (length - gram)).alias("first"), F.col("pos").alias("last"))
-    spans = durable(settled.union(whole).groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans", files_per_core=4)
+    return settled.union(whole)
+
+
+def _removed(docs: DataFrame, ranges: DataFrame, id_col: str, length: int, keep_text: bool, pages: int) -> DataFrame:
+    """What :func:`remove_repeats` returns, from the ranges."""
+    spans = durable(ranges.groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans", files_per_core=4)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -415,6 +412,102 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, pages: int = BITMAP_PAGES) -> DataFrame:
+    """``(id, n_bytes, n_removed, n_spans, kept_sha256)``, and what is left of the text if asked for, one row per input row.
+
+    Strings are judged on the input's UTF-8 bytes and within documents; what is
+    left may end within a character, so the kept text is binary.
+
+    Cases: null, empty and shorter texts - nothing removed; repeated rows - documents that repeat each other;
+    null ids - rows like any other; texts of any length are read whole; empty table - no rows; extra columns are ignored.
+    """
+    docs = numbered(df, "__rid").select(F.col("__rid").alias("rid"), F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
+    found = durable(_anchor_rows(docs, length, gram), "anchors", texts=True)
+    return _removed(docs, _repeats(docs, found, length, gram, pages), id_col, length, keep_text, pages)
+
+
+class SuffixFamily(Versions):
+    """Repeated strings over batches that come one after another, kept under a shared path.
+
+    A level holds its documents and their anchors, sorted by gram. A new batch is matched within itself and
+    against each level, of which only the anchors of the batch's own grams are read on; then
+    levels of nearly equal size are merged, so that there are about as many as the logarithm of the number of batches, and each anchor is
+    written as often. The ranges found so far are kept, so nothing is matched twice.
+
+    Cases: as :func:`remove_repeats`; a batch whose id was added before changes nothing; an empty batch is a batch. Two
+    writers may add at once: the second one to finish matches its batch against the new family again.
+    """
+
+    EMPTY = {"version": 0, "levels": [], "ranges": []}
+    DOCS, FOUND, RANGES = "rid long, id {0}, text string", "gram long, around long, rid long, pos long, n long", "rid long, first long, last long"
+
+    def __init__(self, spark: SparkSession, path: str, length: int = LENGTH, gram: int = GRAM, pages: int = BITMAP_PAGES):
+        super().__init__(spark, path)
+        self.length, self.gram, self.pages = length, gram, pages
+
+    def _write(self, df: DataFrame, kind: str) -> str:
+        name = f"{kind}/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{name}")
+        return name
+
+    def _read(self, names: list[str], schema: str) -> DataFrame:
+        rows = self.spark.createDataFrame([], schema)
+        for name in names:
+            rows = rows.union(self.spark.read.schema(schema).parquet(f"{self.path}/{name}"))
+        return rows
+
+    def add(self, batch_id: str, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> bool:
+        """Take a batch once. False: it was added before, and nothing changes."""
+        self._latest()
+        if self._applied(batch_id):
+            return False
+        kind = df.schema[id_col].dataType.simpleString()
+        texts = self.spark.read.schema(f"id {kind}, text string").parquet(f"{self.path}/{self._write(df.select(F.col(id_col).alias('id'), whole_text(text_col).alias('text')), 'batches')}")
+        while True:
+            now = self._latest()
+            if self._applied(batch_id):
+                return False
+            number = now["version"] + 1
+            if number >= 512:
+                raise ValueError("numbers of rows have room for 511 batches")
+            own = numbered(texts, "rid").select((F.col("rid") + F.lit(number << 54)).alias("rid"), "id", "text")
+            level = {"docs": [self._write(own, "docs")], "kind": kind}
+            docs = self._read(level["docs"], self.DOCS.format(kind))
+            level["found"] = self._write(self._sorted(durable(_anchor_rows(docs, self.length, self.gram), "anchors", texts=True)), "found")
+            found = self._read([level["found"]], self.FOUND)
+            level["rows"] = found.count()
+            ranges = [_repeats(docs, found, self.length, self.gram, self.pages)]
+            grams = durable(found.select("gram").distinct(), "grams", files_per_core=1)
+            for old in now["levels"]:
+                met = durable(self._read([old["found"]], self.FOUND).where("n > 0").join(grams, "gram", "left_semi"), "met", files_per_core=1)
+                theirs = found.where("n > 0").join(met.select("gram").distinct(), "gram", "left_semi")
+                both = durable(met.union(theirs), "both", files_per_core=1)
+                ranges.append(_repeats(self._read(old["docs"], self.DOCS.format(kind)).union(docs), both, self.length, self.gram, self.pages))
+            every = ranges[0]
+            for more in ranges[1:]:
+                every = every.union(more)
+            levels = [*now["levels"], level]
+            while len(levels) > 1 and levels[-2]["rows"] < 2 * levels[-1]["rows"]:
+                two = levels[-2:]
+                merged = self._write(self._sorted(self._read([x["found"] for x in two], self.FOUND)), "found")
+                levels[-2:] = [{"docs": two[0]["docs"] + two[1]["docs"], "kind": kind, "found": merged, "rows": two[0]["rows"] + two[1]["rows"]}]
+            if self._publish({"version": number, "batch": batch_id, "levels": levels, "ranges": [*now["ranges"], self._write(every, "ranges")]}):
+                return True
+
+    @staticmethod
+    def _sorted(found: DataFrame) -> DataFrame:
+        """In the order of grams, so that statistics of the files tell where a gram can be."""
+        return found.repartitionByRange("gram", "around", "rid").sortWithinPartitions("gram", "around")
+
+    def result(self, id_col: str = "doc_id", keep_text: bool = False) -> DataFrame:
+        """What :func:`remove_repeats` returns for all batches' rows together."""
+        now = self._latest()
+        if not now["levels"]:
+            raise ValueError("no batch yet")
+        docs = self._read([d for level in now["levels"] for d in level["docs"]], self.DOCS.format(now["levels"][0]["kind"]))
+        return _removed(docs, self._read(now["ranges"], self.RANGES), id_col, self.length, keep_text, self.pages)
+
+
 def _with_any(docs: DataFrame, rids: DataFrame, pages: int) -> DataFrame:
     """The documents that may be among ``rids``, by a bitmap of fixed size, so that the others' texts are not shuffled."""
     bitmap = durable(_survivor_bitmap(rids.select(F.xxhash64("rid").alias("k")), "k", pages), "rids", narrow=True)

@@ -9,18 +9,14 @@ Documents' latest counts lie in segments that merge geometrically.
 
 from __future__ import annotations
 
-import json
-import time
 import uuid
 from collections.abc import Callable, Iterator
-from urllib.parse import quote
 
 import pyarrow as pa
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table
+from .common import Versions, new_path, table
 from .word_bpe import forget, token_bytes
 
 KEYS = ("source", "lang", "version")
@@ -55,7 +51,7 @@ def word_counter(df: DataFrame) -> DataFrame:
     return df.withColumn("tokens", F.size(F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != "")).cast("long")).drop("text")
 
 
-class TokenLedger:
+class TokenLedger(Versions):
     """Totals under a shared path.
 
     A batch is a DataFrame with ``op`` (insert, delete or revise), ``doc_id``,
@@ -74,58 +70,7 @@ class TokenLedger:
     writer leaves that stops before its manifest is under a name of its own that nothing reads.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def _fs(self, path: str):
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{path}")
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
-
-    def _exists(self, path: str) -> bool:
-        fs, at = self._fs(path)
-        return fs.exists(at)
-
-    def _names(self, path: str) -> list[str]:
-        fs, at = self._fs(path)
-        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
-
-    def _create(self, path: str, text: str) -> bool:
-        """Write a small file that is not there yet; False if it is."""
-        fs, at = self._fs(path)
-        try:
-            out = fs.create(at, False)
-        except Py4JJavaError:
-            if fs.exists(at):
-                return False
-            raise
-        out.write(bytearray(text.encode()))
-        out.close()
-        return True
-
-    def _manifest(self, name: str) -> dict | None:
-        """A version's manifest; None if its writer stopped while writing it."""
-        for _ in range(10):
-            fs, at = self._fs(f"versions/{name}")
-            source = fs.open(at)
-            try:
-                size = fs.getFileStatus(at).getLen()
-                return json.loads(bytes(source.readNBytes(size)).decode())
-            except ValueError:
-                time.sleep(0.2)
-            finally:
-                source.close()
-        return None
-
-    def _latest(self) -> dict:
-        for name in reversed(self._names("versions")):
-            found = self._manifest(name)
-            if found:
-                # a writer may have stopped between its manifest and its mark
-                self._create(f"applied/{_encoded(found['batch'])}", "")
-                return found
-            fs, at = self._fs(f"versions/{name}")
-            fs.delete(at, False)
-        return {"version": 0, "totals": None, "segments": []}
+    EMPTY = {"version": 0, "totals": None, "segments": []}
 
     def _held(self, segments: list[dict], buckets: list[int] | None = None) -> DataFrame:
         """The latest counts of each document and version in some segments; of ``buckets`` only, if given."""
@@ -149,7 +94,7 @@ class TokenLedger:
     def commit(self, batch_id: str, changes: DataFrame, version: str, counter: Callable[[DataFrame], DataFrame], order_col: str | None = None) -> bool:
         """Apply a batch once. False: it was applied before, and nothing changes."""
         self._latest()
-        if self._exists(f"applied/{_encoded(batch_id)}"):
+        if self._applied(batch_id):
             return False
         op = F.when(F.col("op").isin("revise", "delete"), F.col("op")).otherwise("insert")
         rank = F.when(op == "delete", 2).when(op == "revise", 1).otherwise(0)
@@ -167,7 +112,7 @@ class TokenLedger:
         new = rows.where("doc_id is not null").groupBy("doc_id").agg(last).select("doc_id", F.lit(version).alias("version"), "x.*")
         while True:
             now = self._latest()
-            if self._exists(f"applied/{_encoded(batch_id)}"):
+            if self._applied(batch_id):
                 return False
             number = now["version"] + 1
             named = new.withColumns({"commit": F.lit(number).cast("long"), "bucket": F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")})
@@ -189,9 +134,7 @@ class TokenLedger:
                 merged = self._held(two)
                 # what is dead in the oldest segment hides nothing
                 segments[-2:] = [self._write_segment(merged if len(segments) > 2 else merged.where("live"), f"{number:012d}")]
-            found = {"version": number, "batch": batch_id, "totals": totals, "segments": segments}
-            if self._create(f"versions/{number:012d}", json.dumps(found)):
-                self._create(f"applied/{_encoded(batch_id)}", "")
+            if self._publish({"version": number, "batch": batch_id, "totals": totals, "segments": segments}):
                 return True
 
     @staticmethod
@@ -205,11 +148,6 @@ class TokenLedger:
         return self.spark.read.schema(DELTA).parquet(f"{self.path}/{found}") if found else self.spark.createDataFrame([], DELTA)
 
 
-def _encoded(batch_id: str) -> str:
-    """A file name for any text; none starts with a sign that hides files."""
-    return "b" + quote(batch_id, safe="")
-
-
 def _inserts(docs: DataFrame, op: str = "insert") -> DataFrame:
     return docs.select(F.lit(op).alias("op"), "doc_id", "source", "lang", "text")
 

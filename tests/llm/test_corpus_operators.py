@@ -390,6 +390,26 @@ def test_suffix_dedup_at_full_length(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and sum(w[3] for w in want) > 20
 
 
+def test_suffix_family_of_batches(spark):
+    """Batches one after another give what all rows give at once, and levels are few."""
+    rng = random.Random(11)
+    passages = ["".join(rng.choice("abcd ") for _ in range(120)) for _ in range(6)]
+    batches = []
+    for k in range(6):
+        batches.append([(100 * k + i, "".join(rng.choice("xyz") for _ in range(rng.randrange(80))) + rng.choice(passages)[: rng.randrange(121)] + "é" * rng.randrange(3)) for i in range(rng.choice([4, 12]))])
+    batches[2] += [(None, None), (299, ""), (100, batches[1][0][1])]
+    family = suffix_dedup.SuffixFamily(spark, new_path(spark, "family"), length=64, gram=16)
+    for k, rows in enumerate(batches):
+        assert family.add(f"batch/{k}", docs_of(spark, rows))
+    assert family.add("none", docs_of(spark, []))
+    assert not family.add("batch/2", docs_of(spark, batches[0]))
+    rows = [r for b in batches for r in b]
+    want = [(i, *w) for (i, _), w in zip(rows, slow_repeats([(t or "").encode() for _, t in rows], 64), strict=True)]
+    assert sorted(map(str, map(tuple, family.result().collect()))) == sorted(map(str, want)) and sum(w[2] for w in want) > 1000
+    sizes = [level["rows"] for level in family._latest()["levels"]]
+    assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+
+
 def test_very_long_documents_in_pieces(monkeypatch):
     """The anchors of a document that is read in overlapping pieces are those of the whole."""
     rng = np.random.default_rng(3)
