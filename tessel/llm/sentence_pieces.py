@@ -126,6 +126,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                 ids = [model.encode(t) for t in texts]
                 same = [model.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(same)], names=[id_col, "ids", "round_trip"])
+        model.clear()  # the next task may be of another kind
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, ids binary, round_trip boolean")

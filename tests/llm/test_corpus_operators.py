@@ -534,6 +534,92 @@ def test_sentence_pieces(spark, rows):
     assert Counter((r["doc_id"], r["text"]) for r in sentence_pieces.decode(got).collect()) == Counter((i, t or "") for i, t in rows)
 
 
+def test_sentence_pieces_query(spark):
+    """Ids of every whole text by trying all pieces at all places."""
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    plain = [i for i in range(library.get_piece_size()) if not (library.is_byte(i) or library.is_control(i) or library.is_unknown(i) or library.is_unused(i))]
+    pieces = {library.id_to_piece(i): (library.get_score(i), i) for i in plain}
+    raw = {int(library.id_to_piece(i)[3:-1], 16): i for i in range(library.get_piece_size()) if library.is_byte(i)}
+    longest, unknown, known = max(map(len, pieces)), min(s for s, _ in pieces.values()) - 10, {}
+
+    def ids(chunk):
+        if chunk not in known:
+            best = [(0.0, [])]
+            for end in range(1, len(chunk) + 1):
+                top = (best[end - 1][0] + unknown, best[end - 1][1] + [raw[b] for b in chunk[end - 1].encode()])
+                for start in range(max(0, end - longest), end):
+                    if chunk[start:end] in pieces and best[start][0] + pieces[chunk[start:end]][0] > top[0]:
+                        top = (best[start][0] + pieces[chunk[start:end]][0], [*best[start][1], pieces[chunk[start:end]][1]])
+                best.append(top)
+            known[chunk] = best[-1][1]
+        return known[chunk]
+
+    got = {r["doc_id"]: r for r in sentence_pieces.op3_sentence_pieces(spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for r in docs:
+        marked = "▁" + (r["text"] or "").replace(" ", "▁") if r["text"] else ""
+        want = [i for chunk in re.findall("▁*[^▁\n]+|▁+|\n", marked) for i in ids(chunk)]
+        assert got[r["doc_id"]]["n_ids"] == len(want) and got[r["doc_id"]]["ids_sha256"] == hashlib.sha256(array("I", want).tobytes()).hexdigest()
+        assert got[r["doc_id"]]["round_trip"] == ("▁" not in (r["text"] or ""))
+
+
+def test_packing_query(spark):
+    """Pieces and checksums by the tokenizer itself; sequences gapless and nearly as few as their tokens allow."""
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = [*slow_ids(r["text"] or ""), 1]
+        for p, at in enumerate(range(0, len(ids), 4096)):
+            want[r["doc_id"], p] = (at, len(ids[at : at + 4096]), zlib.crc32(array("I", ids[at : at + 4096]).tobytes()))
+    got = packing.op2_best_fit_packing(spark, SF).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in got} == want and len(got) == len(want)
+    places = defaultdict(list)
+    for r in got:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for p in places.values():
+        ends = [a + n for a, n in sorted(p)]
+        assert [a for a, _ in sorted(p)] == [0, *ends[:-1]] and ends[-1] <= 4096
+    assert len(places) <= -(-sum(r["length"] for r in got) // 4096) * 1.02 + 1
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(14)
+    long = words(rng, 60_000)
+    df = docs_of(spark, [(1, long), (2, long + " end"), (3, "short")])
+    got = {r["doc_id"]: (r["fp"].hex(), r["component_id"]) for r in simhash.near_groups(df).collect()}
+    assert {i: f for i, (f, _) in got.items()} == {1: f"{slow_fingerprint(long):016x}", 2: f"{slow_fingerprint(long + ' end'):016x}", 3: f"{slow_fingerprint('short'):016x}"}
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_groups_by_similarity(df).collect()} == {1: 1, 2: 1, 3: 3}
+    packed = [r for r in packing.pack(df).collect() if r["doc_id"] == 1]
+    ids = [*slow_ids(long), 1]
+    assert sum(r["length"] for r in packed) == len(ids) and all(r["length"] == 4096 for r in packed if r["piece"] < max(x["piece"] for x in packed))
+    # a document that is read in pieces, with one passage twice, far apart
+    letters = np.random.default_rng(15).integers(97, 123, 9_000_000).astype(np.uint8).tobytes().decode()
+    text = letters[:500] + letters[1000:] + letters[:500]
+    r = suffix_dedup.remove_repeats(docs_of(spark, [(1, text)])).collect()[0]
+    assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(text), 1000, 2, hashlib.sha256(text[500:-500].encode()).hexdigest())
+    path = new_path(spark, "warc-long")
+    warc.write_warc(spark.createDataFrame([(1, "u", text), (2, "u", FAKE * 20_000)], "page_id long, url string, html string"), path)
+    back = {r["record"]: (r["payload_bytes"], r["sha1"]) for r in warc.read_warc(spark, path).collect()}
+    assert back == {"<urn:page:1>": (len(text), hashlib.sha1(text.encode()).hexdigest()), "<urn:page:2>": (len(FAKE) * 20_000, hashlib.sha1((FAKE * 20_000).encode()).hexdigest())}
+
+
+def test_names_that_clash(spark):
+    rows = [("a", "one two three four", 0.5), ("b", "one two three four", None), ("c", None, 1.0)]
+    df = durable(spark.createDataFrame(rows, "fp string, text string, score double"), "clash")
+    assert {(r["id"], r["component_id"]) for r in simhash.near_groups(df, id_col="fp").collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
+    scored = toxicity.score(df, toxicity.Model(["vermin"], [-2.0, 3, 1, 0, 1, 1, 1, 1, 0]))
+    assert scored.columns == ["fp", "text", "score"] and all(r["score"] < 0.5 for r in scored.collect())
+
+
+def test_training_takes_one_row_an_id(spark):
+    docs = spark.createDataFrame([(2, f"text {k}") for k in range(50)] + [(3, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(2, 0), (2, 1), (3, 0), (None, 1)], "doc_id long, toxic int")
+    assert sorted(map(tuple, toxicity.labelled_texts(docs, labels, "toxic", 100).collect())) == [("b", 0), ("text 0", 1)]
+
+
 def test_token_ledger(spark):
     kinds = "op string, doc_id long, source string, lang string, text string, docs long"
     batch = lambda *rows: spark.createDataFrame([(*r, 1) for r in rows], kinds)
@@ -630,7 +716,13 @@ def slow_ids(text):
     return slow_ids.tokenizer.encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("name", ["exact", "simhash", "wide", "pack", "pii", "suffix", "pieces", "score", "vectors"])
+def through_archives(spark, df):
+    path = new_path(spark, "warc-empty")
+    warc.write_warc(df, path)
+    return warc.read_warc(spark, path)
+
+
+@pytest.mark.parametrize("name", ["exact", "simhash", "wide", "pack", "pii", "redact", "suffix", "pieces", "decoded", "score", "vectors", "warc"])
 def test_empty_tables(spark, name):
     df = docs_of(spark, [])
     run = {
@@ -641,6 +733,9 @@ def test_empty_tables(spark, name):
         "pii": lambda: pii.find_pii(df),
         "suffix": lambda: suffix_dedup.remove_repeats(df),
         "pieces": lambda: sentence_pieces.encode(df),
+        "redact": lambda: pii.redact(df),
+        "decoded": lambda: sentence_pieces.decode(sentence_pieces.encode(df)),
+        "warc": lambda: through_archives(spark, spark.createDataFrame([], "page_id long, url string, html string")),
         "score": lambda: toxicity.score(df, toxicity.learn(df, spark.createDataFrame([], "doc_id long, toxic int"))),
         "vectors": lambda: embedding_dedup.embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>")),
     }[name]

@@ -1,11 +1,16 @@
 """The pipeline's stages, each against a plain computation on its own input."""
 
+import sys
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import corpus_pipeline as cp
 from tessel.llm import pii
 from tessel.llm.common import durable, table
 
+sys.path.insert(0, str(Path(__file__).parent))
+from test_shingle_join import components, shingles  # noqa: E402
+
 SF = "/root/testdata/sf0.01"
 
 
@@ -28,21 +33,9 @@ def test_stages(spark):
         groups[r["text"]].append(i)
     assert set(single) == {max(g) for g in groups.values()}
 
-    def shingles(text):
-        w = text.lower().split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-
-    sets = {i: shingles(r["text"]) for i, r in single.items()}
-    alike = lambda a, b: len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
-    by = defaultdict(list)
-    for i, s in sets.items():
-        for x in s:
-            by[x].append(i)
-    pairs = Counter((a, b) for g in by.values() for k, b in enumerate(g) for a in g[:k])
-    near = {p for p in pairs if alike(*p) >= 0.85}
-    assert sum(a in apart and b in apart for a, b in near) <= 0.1 * len(near)
-    dropped = set(single) - set(apart)
-    assert all(any(alike(min(i, j), max(i, j)) >= 0.65 for j in single if j != i and (min(i, j), max(i, j)) in pairs) for i in dropped)
+    # all pairs of a similarity of 0.8 or more, and no others, are linked
+    component = components({i: shingles(r["text"]) for i, r in single.items()})
+    assert set(apart) == set(component.values()) and len(apart) < len(single)
     assert set(masked) == set(apart)
     for i, r in masked.items():
         assert not pii.base_spans(r["text"]) and r["n_chars"] == len(r["text"])
@@ -58,5 +51,11 @@ def test_stages(spark):
 def test_rows_that_repeat_or_lack_values(spark):
     rows = [(1, "same text here", "en", "a", 3), (1, "same text here", "en", "a", 3), (None, "same text here", None, None, None), (2, None, "en", "a", 0), (3, "", "en", None, 0), (4, "other words in this one", "en", "a", 9)]
     docs = durable(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "odd")
-    for stage, want in ((cp.exact_copies_go, 3), (cp.near_copies_go, 3), (cp.personal_data_masked, 6)):
+    for stage, want in ((cp.toxic_go, 6), (cp.exact_copies_go, 3), (cp.near_copies_go, 3), (cp.personal_data_masked, 6), (cp.packed, 6)):
         assert stage(spark, docs, SF).count() == want, stage
+
+
+def test_empty_table_runs_through(spark):
+    docs = durable(spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long"), "none")
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs, SF).count() == 0
