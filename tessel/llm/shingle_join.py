@@ -13,6 +13,7 @@ buckets are. A pair is linked by the sizes of intersection and union alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
@@ -26,8 +27,10 @@ from .components import connected_components
 from .exact_dedup import BITMAP_PAGES, _flag, _survivor_bitmap
 from .simhash import _labelled, _mix, bucket_links, fingerprints_of, plan_probes, probe_rows, shingle_hashes
 
-#: Documents, of which common shingles are learned, and the most shingles that count as common.
-SAMPLE, COMMON = 8_000, 65_536
+#: Documents, of which common shingles are learned: so many, or this share of them if that is more.
+SAMPLE, SHARE = 8_000, 0.01
+#: The most shingles that have a rank by frequency, the most that are marked as common beside them, and the pages of 4 KB of the marks.
+COMMON, MARKED, PAGES = 65_536, 4_000_000, 1024
 #: Fingerprints and probes of the first candidates.
 BITS, RADIUS, PARTS = 64, 3, 4
 #: Bits of the sketches that travel with probes. Those that pairs are held against have at least twice as many bits as their set has shingles.
@@ -38,8 +41,36 @@ def _set_of(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text or "", words), dtype=np.uint64))
 
 
-def common_shingles(df: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that three documents of a sample share, in their own order, and each one's rank by frequency."""
+@dataclass(frozen=True)
+class Order:
+    """Which shingles are common: some in the order of their frequency, others by a bitmap of fixed size that may mark a few more.
+
+    Shingles are ordered by (not marked, marked, ranked), then by rank or by themselves: any order will do as long as it is the
+    same for all sets, and one that has common shingles last keeps buckets small.
+    """
+
+    tokens: np.ndarray  # in their own order
+    ranks: np.ndarray
+    marks: np.ndarray  # bits, as bytes
+
+    def first(self, own: np.ndarray, n: int) -> np.ndarray:
+        """The first ``n`` of a sorted set."""
+        ranked = np.zeros(len(own), dtype=bool)
+        if len(self.tokens):
+            at = np.minimum(np.searchsorted(self.tokens, own), len(self.tokens) - 1)
+            ranked = self.tokens[at] == own
+        marked = np.zeros(len(own), dtype=bool)
+        if len(self.marks):
+            slot = own.view(np.int64) % (8 * len(self.marks))
+            marked = (self.marks[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool) & ~ranked
+        parts = [own[~ranked & ~marked][:n], own[marked][:n]]
+        if sum(map(len, parts)) < n and ranked.any():
+            parts.append(own[ranked][np.argsort(self.ranks[at[ranked]])])
+        return np.concatenate(parts)[:n]
+
+
+def common_shingles(df: DataFrame, words: int) -> Order:
+    """The order of shingles, from those that three documents of a sample share. The sample grows with the table; what reaches the driver does not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,28 +79,31 @@ def common_shingles(df: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["token"])
 
     total = df.count()
+    share = max(SHARE, SAMPLE / max(1, total))
     sample = df.select("text", "rid")
-    if total > SAMPLE:
-        sample = sample.where(F.xxhash64("rid") < F.lit(int(SAMPLE / total * 2**64) - 2**63))
-    seen = sample.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 2")
+    if share < 1:
+        sample = sample.where(F.xxhash64("rid") < F.lit(int(share * 2**64) - 2**63))
+    seen = durable(sample.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 2"), "common", narrow=True)
     top = seen.orderBy(F.desc("n"), "token").limit(COMMON).toPandas()
     token, n = top["token"].to_numpy(dtype=np.int64).view(np.uint64), top["n"].to_numpy(dtype=np.int64)
     rank = np.empty(len(n), dtype=np.int64)
     rank[np.lexsort((token, n))] = np.arange(len(n))
     order = np.argsort(token)
-    return token[order], rank[order]
-
-
-def _prefix(own: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: Fraction) -> np.ndarray:
+    marks = np.zeros(0, dtype=np.uint8)
+    if len(n) == COMMON:
+        # the least frequency that leaves few enough to mark; frequencies above a thousand are one
+        counts = sorted((r for r in seen.groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect()), reverse=True)
+        kept = np.cumsum([r["count"] for r in counts]) <= MARKED
+        least = min((r["n"] for r, k in zip(counts, kept, strict=True) if k), default=1000)
+        marks = np.zeros(PAGES * 4096, dtype=np.uint8)
+        for r in _survivor_bitmap(seen.where(F.col("n") >= least), "token", PAGES).collect():
+            marks[r["__page"] * 4096 : r["__page"] * 4096 + 4096] = np.frombuffer(r["__bits"], dtype=np.uint8)
+    return Order(token[order], rank[order], marks)
+
+
+def _prefix(own: np.ndarray, order: Order, similarity: Fraction) -> np.ndarray:
     """The first shingles of a sorted set, as many as a partner cannot miss."""
-    n = len(own) + int(-similarity.numerator * len(own) // similarity.denominator) + 1 if len(own) else 0
-    tokens, ranks = common
-    if not len(tokens):
-        return own[:n]
-    at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
-    hot = tokens[at] == own
-    rare = own[~hot][:n]
-    return np.concatenate([rare, own[hot][np.argsort(ranks[at[hot]])][: n - len(rare)]])
+    return order.first(own, len(own) + int(-similarity.numerator * len(own) // similarity.denominator) + 1 if len(own) else 0)
 
 
 def _sketch(own: np.ndarray) -> np.ndarray:
@@ -209,10 +243,11 @@ def near_groups_by_similarity(
     wanted = Fraction(str(similarity))
     placed = numbered(df, "__rid") if row_col is None else df.withColumn("__rid", F.col(row_col))
     docs = placed.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"), F.col("__rid").alias("rid"))
-    common = common_shingles(docs, words)
+    shared_order = df.sparkSession.sparkContext.broadcast(common_shingles(docs, words))  # at most COMMON ranks and PAGES x 4 KB of marks
     kind = docs.schema["id"].dataType.simpleString()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = shared_order.value
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
@@ -223,7 +258,7 @@ def near_groups_by_similarity(
                 columns = [part.column(0), part.column(2), pa.array(map(_fp, sets), pa.binary()), pa.array([len(s) for s in sets], pa.int64())]
                 sketches = [_sketch(s) for s in sets]
                 short = [_folded(x, SKETCH_BITS // 8).tobytes() for x in sketches]
-                columns += [_lists([_prefix(s, common, wanted) for s in sets]), *(pa.array(c, pa.binary()) for c in ([x.tobytes() for x in sketches], short, prints))]
+                columns += [_lists([_prefix(s, order, wanted) for s in sets]), *(pa.array(c, pa.binary()) for c in ([x.tobytes() for x in sketches], short, prints))]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "rid", "fp", "size", "prefix", "sketch", "short", "print"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,6 +56,23 @@ def test_border_pairs(spark):
     assert [got[2 * k] == got[2 * k + 1] for k in range(60)] == [k % 2 == 1 for k in range(60)]
 
 
+def test_common_shingles_come_last(spark, monkeypatch):
+    """With more common shingles than ranks the others are marked, and the result stays the same."""
+    monkeypatch.setattr(shingle_join, "COMMON", 5)
+    line = " ".join(f"line{i}" for i in range(30))
+    texts = {i: f"{line} " + " ".join(f"own{i}x{k}" for k in range(60)) for i in range(40)}
+    texts |= {100 + i: texts[i] + " more" for i in range(10)}
+    docs = durable(spark.createDataFrame([(i, t, i) for i, t in texts.items()], "id long, text string, rid long"), "lines")
+    order = shingle_join.common_shingles(docs, 5)
+    assert len(order.tokens) == 5 and order.marks.any()
+    common = shingles(line)
+    for t in (texts[0], texts[105]):
+        own = np.sort(np.array(list(shingles(t)), dtype=np.uint64))
+        first = order.first(own, len(own))
+        assert sorted(first) == own.tolist() and not common & set(first[: len(own) - 26].tolist())
+    assert grouped(spark, texts) == components({i: shingles(t) for i, t in texts.items()})
+
+
 def test_documents_and_chains(spark):
     """All pairs of a table, with chains of links and a group of near copies of which few are linked to its first."""
     rng = random.Random(6)
@@ -82,7 +99,10 @@ def test_prefixes_and_sketches():
         gone = len(a) // 9
         b = np.unique(np.append(a[rng.permutation(len(a))[gone:]], rng.integers(0, 2**63, gone).astype(np.uint64)))
         tokens = np.sort(rng.permutation(a)[: len(a) * int(rng.integers(0, 3)) // 2])
-        common = tokens, rng.permutation(len(tokens))
+        marks = np.zeros(64, dtype=np.uint8)
+        for t in rng.permutation(a)[: len(a) // 3].view(np.int64) % 512:
+            marks[t >> 3] |= 1 << (t & 7)
+        common = shingle_join.Order(tokens, rng.permutation(len(tokens)), marks if n % 2 else marks[:0])
         x, y = (shingle_join._prefix(s, common, Fraction(4, 5)) for s in (a, b))
         both = len(np.intersect1d(a, b))
         assert 5 * both < 4 * (len(a) + len(b) - both) or np.intersect1d(x, y).size
