@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -117,14 +117,29 @@ def batch_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str)
     return left.mapInArrow(run, StructType([*left.schema.fields, *right.schema.fields]))
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, value: str, name: str) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, value: str, name: str, cell: Callable[[Column], Column] | None = None) -> DataFrame:
     """All left rows with the value of the latest right row of the same key that is not later.
 
     Both sides are laid into one line per key and the last value is carried
-    on: one shuffle, no pairs. Of right rows at the same time the largest value counts.
+    on: one shuffle, no pairs. Of right rows at the same time the largest value counts. A null key or time finds nothing and is not found.
+
+    A key with a great share of all rows is one task's work, unless ``cell`` cuts the line: a function of
+    the time that never falls, such as its month. Then each cell of a key is a line of its own, and what stands last in it is
+    carried on to the cells after it, of which there is a row each.
     """
     a = left.select(F.col(by).alias("__by"), F.col(at).alias("__at"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(right.schema[value].dataType).alias("__v"))
-    b = right.select(F.col(by).alias("__by"), F.col(at).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.col(value).alias("__v"))
-    w = Window.partitionBy("__by").orderBy("__at", "__side", F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    carried = a.union(b).withColumn("__last", F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
-    return carried.select("__row.*", F.col("__last").alias(name))
+    known = right.where(F.col(by).isNotNull() & F.col(at).isNotNull())
+    b = known.select(F.col(by).alias("__by"), F.col(at).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.col(value).alias("__v"))
+    both = a.union(b)
+    line = ["__by"]
+    if cell is not None:
+        both, line = both.withColumn("__cell", cell(F.col("__at"))), ["__by", "__cell"]
+    w = Window.partitionBy(*line).orderBy("__at", "__side", F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    carried = both.withColumn("__last", F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
+    if cell is None:
+        return carried.select("__row.*", F.col("__last").alias(name))
+    ends = both.groupBy(*line).agg(F.max(F.when(F.col("__v").isNotNull(), F.struct("__at", "__v")))["__v"].alias("__end"))
+    before = F.last("__end", ignorenulls=True).over(Window.partitionBy("__by").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(F.col("__by").alias("__b"), F.col("__cell").alias("__c"), before.alias("__before")).where("__before is not null")
+    met = carried.join(ends, F.col("__by").eqNullSafe(F.col("__b")) & F.col("__cell").eqNullSafe(F.col("__c")), "left")
+    return met.select("__row.*", F.coalesce("__last", "__before").alias(name))

@@ -207,13 +207,23 @@ def _(t):
     return J.equi_join(x, y, {"u": "user_id"}, residual=c("ts").between(c("at"), c("at") + F.expr("interval 2 days"))).select("a", "b")
 
 
-@query("j27_asof_join", "SELECT a.event_id, (SELECT max_by(b.value, (b.ts, b.value)) FROM events b WHERE b.event_type = 'purchase' AND b.user_id = a.user_id AND b.ts <= a.ts) AS last_purchase FROM events a WHERE a.event_type = 'error'")
+_ASOF = "SELECT a.event_id, (SELECT max_by(b.value, (b.ts, b.value)) FROM events b WHERE b.event_type = 'purchase' AND b.user_id = a.user_id AND b.ts <= a.ts) AS last_purchase FROM events a WHERE a.event_type = 'error'"
+
+
+@query("j27_asof_join", _ASOF)
 def _(t):
     left = t.events.where("event_type = 'error'").select("event_id", "user_id", "ts")
     right = t.events.where("event_type = 'purchase'").select("user_id", "ts", "value")
     return J.asof_join(left, right, "user_id", "ts", "value", "last_purchase").select("event_id", "last_purchase")
 
 
+@query("j27_asof_join_cells", _ASOF)
+def _(t):
+    left = t.events.where("event_type = 'error'").select("event_id", "user_id", "ts")
+    right = t.events.where("event_type = 'purchase'").select("user_id", "ts", "value")
+    return J.asof_join(left, right, "user_id", "ts", "value", "last_purchase", cell=lambda at: F.date_trunc("month", at)).select("event_id", "last_purchase")
+
+
 @query("u01_union_all", "SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region")
 def _(t):
     return R.union_all(t.nation.select(c("n_nationkey").alias("k")), t.region.select("r_regionkey"))

@@ -328,3 +328,16 @@ def test_guard_fails_where_it_must(spark):
     assert df.where("k > 0").select(S.guard(F.col("k") >= 0, F.col("k"), "negative key")).collect() == [(1,)]
     with pytest.raises(Exception, match="negative key"):
         df.select(S.guard(F.col("k") >= 0, F.col("k"), "negative key")).collect()
+
+
+def test_asof_join_in_cells(spark):
+    """Cells cut a key's line without changing what is found, nulls and ties included."""
+    rng = random.Random(21)
+    left = spark.createDataFrame([(rng.choice([1, 1, 1, 2, None]), rng.choice([None, *range(60)]), k) for k in range(200)], "u int, at int, k int")
+    right = spark.createDataFrame([(rng.choice([1, 2, 3, None]), rng.choice([None, *range(60)]), rng.choice([None, *range(5)])) for _ in range(60)], "u int, at int, v int")
+    plain = rows(J.asof_join(left, right, "u", "at", "v", "found"))
+    known = [tuple(r) for r in right.collect() if r["u"] is not None and r["at"] is not None and r["v"] is not None]
+    last = lambda u, at: max(((t, v) for k, t, v in known if k == u and at is not None and t <= at), default=(None, None))[1]
+    assert plain == sorted(((u, at, k, last(u, at)) for u, at, k in map(tuple, left.collect())), key=str)
+    for width in (1, 7, 100):
+        assert rows(J.asof_join(left, right, "u", "at", "v", "found", cell=lambda at, n=width: F.floor(at / n))) == plain
