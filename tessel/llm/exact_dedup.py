@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import durable, table, whole_text
 
-#: Pages of a survivor bitmap; each holds 32,768 bits in 4,096 bytes.
-BITMAP_PAGES = 256
+#: Pages of a survivor bitmap, of small tables and at most; each holds 32,768 bits in 4,096 bytes.
+BITMAP_PAGES, MOST_PAGES = 256, 8192
 
 
 def _survivor_bitmap(keys: DataFrame, key: str, pages: int) -> DataFrame:
@@ -34,7 +34,7 @@ def _flag(df: DataFrame, key: Column, bitmap: DataFrame, pages: int, name: str)
 
 
 def exact_dedup(
-    df: DataFrame, id_col: str = "doc_id", text: Column | None = None, prefix_chars: int = 64, pages: int = BITMAP_PAGES, carry: dict[str, Column] | None = None
+    df: DataFrame, id_col: str = "doc_id", text: Column | None = None, prefix_chars: int = 64, pages: int | None = None, carry: dict[str, Column] | None = None
 ) -> DataFrame:
     """``(id, keep_id, group_size, kept, *carry)``, one row per input row.
 
@@ -42,8 +42,8 @@ def exact_dedup(
     stays. Each round reads less: all rows give their length; rows whose length
     repeats give the hash of their first ``prefix_chars`` characters; rows whose
     length and prefix repeat are read whole and hashed (SHA-256, with the length
-    as part of the key). Survivors pass from round to round as a bitmap of fixed
-    size, so no text is ever shuffled and a false bit only costs a hash.
+    as part of the key). Survivors pass from round to round as a bitmap of 1 to 32 MB,
+    by the number of rows, so no text is ever shuffled and a false bit only costs a hash.
 
     Cases: null id - the row joins its group and stays only if no row of the
     group has an id (all rows of such a group have ``keep_id`` null and stay);
@@ -57,10 +57,13 @@ def exact_dedup(
     size = F.octet_length("__text").cast("long")
     prefix = F.xxhash64(size, F.substring("__text", 1, prefix_chars))
 
-    lengths = base.groupBy(size.alias("__len")).agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("__len").alias("k"))
-    by_length = durable(_survivor_bitmap(lengths, "k", pages), "lengths", narrow=True)
+    lengths = durable(base.groupBy(size.alias("__len")).agg(F.count("*").alias("n")), "lengths", narrow=True)
+    # eight bits a row whose length repeats, within the bounds
+    again = lengths.agg(F.sum(F.when(F.col("n") > 1, F.col("n")))).first()[0] or 0
+    pages = pages or min(MOST_PAGES, max(BITMAP_PAGES, 1 << (8 * again // 32768).bit_length()))
+    by_length = durable(_survivor_bitmap(lengths.where("n > 1").select(F.xxhash64("__len").alias("k")), "k", BITMAP_PAGES), "by-length", narrow=True)
 
-    first = _flag(base.select("__text"), F.xxhash64(size), by_length, pages, "__again").where("__again")
+    first = _flag(base.select("__text"), F.xxhash64(size), by_length, BITMAP_PAGES, "__again").where("__again")
     prefixes = first.groupBy(prefix.alias("k")).agg(F.count("*").alias("n")).where("n > 1").select("k")
     by_prefix = durable(_survivor_bitmap(prefixes, "k", pages), "prefixes", narrow=True)
 
