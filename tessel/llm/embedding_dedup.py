@@ -323,5 +323,5 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over each vector and a copy of it whose first component is changed more or less, so that there are links on both sides of the threshold."""
     found = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    moved = F.transform("embedding", lambda x, i: F.when(i == 0, x + 0.04 * (F.col("vec_id") % 11)).otherwise(x))
-    return embedding_links(found.union(found.select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), moved)))
+    copies = found.withColumn("shift", 0.04 * (F.col("vec_id") % 11)).withColumn("moved", F.transform("embedding", lambda x, i: F.when(i == 0, x + F.col("shift")).otherwise(x)))
+    return embedding_links(found.union(copies.select(F.col("vec_id") + 1_000_000_000, "moved")))
