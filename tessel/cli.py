@@ -7,7 +7,7 @@ import dataclasses
 import json
 import sys
 
-from tessel.plans import runner
+from tessel.plans import report, runner
 from tessel.session import register, session
 
 
@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--cold", type=int, default=1)
             c.add_argument("--warm-up", type=int, default=1)
             c.add_argument("--hot", type=int, default=5)
+            c.add_argument("--report", help="folder for JSON, CSV and Markdown files of the timings")
     return p
 
 
@@ -53,7 +54,10 @@ def main(argv: list[str] | None = None) -> int:
         say(found)
         return int(not found["admissible"])
     elif args.command == "bench":
-        say({k: dataclasses.asdict(v) for k, v in runner.benchmark(lambda: spark.sql(text), args.cold, args.warm_up, args.hot).items()})
+        found = runner.benchmark(lambda: spark.sql(text), args.cold, args.warm_up, args.hot)
+        if args.report:
+            report.write(found, args.report)
+        say({k: dataclasses.asdict(v) for k, v in found.items()})
     elif args.command == "coverage":
         found = runner.coverage(spark, SPARK_SQL)
         say({n: x if isinstance(x, str) else {"nodes": sum(x.nodes.values()), "gaps": x.gaps} for n, x in found.items()})

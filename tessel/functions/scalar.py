@@ -90,3 +90,8 @@ def decimal(value: Column, precision: int = 15, scale: int = 2) -> Column:
 def guard(condition: Column, value: Column, message: str) -> Column:
     """The value where the condition holds; elsewhere the query fails with the message."""
     return F.when(condition, value).otherwise(F.raise_error(F.lit(message)))
+
+
+def constant_or_null(value: Column, *others: Column) -> Column:
+    """The value, unless one of the others is null."""
+    return F.when(all_of([o.isNotNull() for o in others]), value)

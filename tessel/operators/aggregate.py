@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -25,6 +26,21 @@ class Agg:
             raise UnsupportedPlanError(f"aggregate {self.function}({self.column})")
 
 
+_TEXT = re.compile(r"\s*([a-z_]+)\s*\(\s*(?:\"([^\"]+)\"|([A-Za-z_]\w*)|(\*))?\s*\)\s*", re.IGNORECASE)
+
+
+def parse_aggregate(text: str) -> Agg:
+    """``sum(x)`` and the like as an :class:`Agg`; a text that is no call of a known function on one column is an error."""
+    m = _TEXT.fullmatch(text)
+    if not m:
+        raise UnsupportedPlanError(f"aggregate {text!r}")
+    name, column = m[1].lower(), m[2] or m[3]
+    name = {"sum_no_overflow": "sum", "mean": "avg"}.get(name, name)
+    if name == "count" and m[4] or name == "count_star" and column is None:
+        return Agg("count_star")
+    return Agg(name, column)
+
+
 def group(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
     """Grouped or, without keys, ungrouped aggregates; combined in each task before the shuffle."""
     named = [a.alias(n) for n, a in aggs.items()]

@@ -362,6 +362,11 @@ def _(t):
     return t.supplier.where(S.like(c("s_name"), "%_1_") & ~S.like(c("s_name"), "%11%")).select("s_suppkey")
 
 
+@query("f12_constant_or_null", "SELECT n_nationkey, constant_or_null(7, nullif(n_regionkey, 1), n_name) AS v FROM nation")
+def _(t):
+    return t.nation.select("n_nationkey", S.constant_or_null(lit(7), F.nullif("n_regionkey", lit(1)), c("n_name")).alias("v"))
+
+
 @query("f14_ordinal", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1 ORDER BY 2 DESC, 1")
 def _(t):
     t.orders.createOrReplaceTempView("orders")

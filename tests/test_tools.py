@@ -6,8 +6,8 @@ import pytest
 
 from tessel import cli
 from tessel.errors import UnsupportedPlanError
-from tessel.operators.aggregate import Agg
-from tessel.plans import runner
+from tessel.operators.aggregate import Agg, parse_aggregate
+from tessel.plans import report, runner
 from tessel.plans.pipeline import one_mode
 from tessel.queries.tpch import ORACLE_SQL, SPARK_SQL
 from tessel.session import register
@@ -53,6 +53,23 @@ def test_modes_do_not_combine():
             one_mode(**bad)
 
 
+def test_aggregate_texts():
+    assert parse_aggregate("sum(x)") == parse_aggregate(' SUM_NO_OVERFLOW ( "x" ) ') == Agg("sum", "x") and parse_aggregate("count_star()") == parse_aggregate("count(*)") == Agg("count_star")
+    assert parse_aggregate("avg(l_quantity)") == Agg("avg", "l_quantity") and parse_aggregate('min("a b")') == Agg("min", "a b")
+    for bad in ("median(x)", "sum()", "sum(*)", "sum(x + 1)", "sum", "count(DISTINCT x)", ""):
+        with pytest.raises(UnsupportedPlanError):
+            parse_aggregate(bad)
+
+
+def test_reports(tmp_path):
+    found = {"tpch_q01": runner.summarize([1.0, 2.0, 3.0]), "a|b": runner.summarize([0.5])}
+    report.write(found, str(tmp_path))
+    assert json.loads((tmp_path / "profile.json").read_text())["tpch_q01"]["median"] == 2.0
+    assert (tmp_path / "profile.csv").read_text().splitlines()[0].startswith("query,") and len((tmp_path / "profile.csv").read_text().splitlines()) == 3
+    table = (tmp_path / "profile.md").read_text().splitlines()
+    assert len(table) == 4 and all(line.replace("\\|", "").count("|") == table[0].count("|") for line in table)
+
+
 def test_leaner_plans(spark):
     """Order lines are read once where the plain text reads them more often, and cut down before they are grouped."""
     register(spark, SF)
