@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: Bytes, by estimate, of one of a worker process's two generations of cached chunks, and of its cached words.
-CACHE_BYTES = 64_000_000
+CACHE_BYTES = 96_000_000
 #: What an entry takes beside its letters and ids: two objects and its place in the table.
 _ENTRY = 200
 
@@ -82,13 +82,15 @@ class _Chunks(dict):
             self.words.clear()
             self.held_words = 0
         found = self.old.get(chunk)
-        if found is not None:
-            pass
-        elif _PLAIN.fullmatch(chunk):
+        if found is None:
             got = self.words.get
-            found = b"".join(got(w) or self.word(w) for w in _PIECES.findall(chunk.lower()))
-        else:
-            found = self.whole(chunk)
+            if chunk.isascii() and chunk.isalpha():  # most chunks: one word
+                w = chunk.lower()
+                found = got(w) or self.word(w)
+            elif _PLAIN.fullmatch(chunk):
+                found = b"".join([got(w) or self.word(w) for w in _PIECES.findall(chunk.lower())])
+            else:
+                found = self.whole(chunk)
         if len(chunk) < 200:
             self[chunk] = found
             self.held += _ENTRY + len(chunk) + len(found)
