@@ -28,6 +28,23 @@ QUERIES = {
     "embedding_near_copies": embedding_near_copies,
 }
 
+#: The result of op6 by counting every 200-byte string.
+OP6_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents),
+     w AS (SELECT doc_id, i, md5_number(b[i : i + 199]) AS h FROM (SELECT doc_id, b, unnest(range(1, n - 198)) AS i FROM d WHERE n >= 200)),
+     r AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+     g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k
+           FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM r)),
+     runs AS (SELECT doc_id, min(i) AS a, max(i) + 199 AS z FROM g GROUP BY doc_id, k),
+     cuts AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p, lead(a) OVER (PARTITION BY doc_id ORDER BY a) IS NULL AS final FROM runs),
+     kept AS (SELECT doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans,
+                     string_agg(CASE WHEN p + 1 < a THEN hex(b[p + 1 : a - 1]) ELSE '' END || CASE WHEN final AND z < n THEN hex(b[z + 1 : n]) ELSE '' END, '' ORDER BY a) AS rest
+              FROM cuts JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(CASE WHEN rest IS NULL THEN b ELSE unhex(rest) END) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 #: The result of op7 as its contract states it; the query gets it through archives that it writes and reads back.
 OP7_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -56,4 +73,4 @@ COPIES_SQL = _LINKS_SQL.format(
 )
 
 #: The others have no SQL form: tokenizers, iterative links, learned models. tests/llm holds them against brute force.
-ORACLE_SQL = {"op7_warc": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "embedding_near_copies": COPIES_SQL, "op10_exact_dedup": OP10_SQL, "token_counts_words": WORDS_SQL}
+ORACLE_SQL = {"op6_suffix_dedup": OP6_SQL, "op7_warc": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "embedding_near_copies": COPIES_SQL, "op10_exact_dedup": OP10_SQL, "token_counts_words": WORDS_SQL}
