@@ -313,36 +313,52 @@ def _settle_hot(surroundings: DataFrame, length: int, gram: int) -> DataFrame:
     def windows(left: int, size: int, k: int) -> range:
         return range(max(k * stripe, left + length - size), min(k * stripe + stripe - 1, reach, left) + 1)
 
+    def told(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+        """Rows of a key first, then the spot: of a key with several spots here all are known to repeat, and the first one speaks for the others."""
+        spots: dict[bytes, set] = {}
+        for r in rows:
+            spots.setdefault(r[0], set()).add(r[1:3])
+        spoken: set[bytes] = set()
+        columns: list[list] = [[] for _ in range(len(names) + 1)]
+        for r in rows:
+            columns[0].append(None if r[0] in spoken else r[0])
+            spoken.add(r[0])
+            for c, x in zip(columns[1:-1], r[1:], strict=True):
+                c.append(x)
+            columns[-1].append(len(spots[r[0]]) > 1)
+        kinds = [pa.binary(), *[pa.int64()] * (len(names) - 1), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*names, "known"])
+
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             out = []
             for rid, pos, left, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for k in range(reach // stripe + 1):
                     if windows(left, len(piece), k):
                         shared = piece[left - k * stripe : left - min(k * stripe + stripe - 1, reach) + length]
                         out.append((xxhash.xxh3_128_digest(shared, k), rid, pos, k))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["key", "rid", "pos", "k"])
+            yield told(out, ["key", "rid", "pos", "k"])
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             out = []
             for n, rid, pos, left, piece, stripes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for k in stripes:
                     for a in windows(left, len(piece), k):
                         window = piece[left - a : left - a + length]
-                        out.append((xxhash.xxh3_128_digest(window), n, rid, pos - a))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["key", "n", "rid", "start"])
+                        out.append((xxhash.xxh3_128_digest(window), rid, pos - a, n))
+            yield told(out, ["key", "rid", "start", "n"])
 
     def repeated(rows: DataFrame, *spot: str) -> DataFrame:
-        return rows.groupBy("key").agg(F.min(F.struct(*spot)).alias("a"), F.max(F.struct(*spot)).alias("b")).where("a <> b").select("key")
+        """Rows whose key has another spot, there or known."""
+        keys = rows.where("key is not null").groupBy("key").agg(F.min(F.struct(*spot)).alias("a"), F.max(F.struct(*spot)).alias("b")).where("a <> b").select("key")
+        return rows.where("known").union(rows.where("not known").join(keys, "key").select(*rows.columns))
 
-    rows = durable(surroundings.select("rid", "pos", "left", "piece").mapInArrow(common, "key binary, rid long, pos long, k long"), "stripes", files_per_core=4)
-    stripes = rows.join(repeated(rows, "rid", "pos"), "key").groupBy("rid", "pos").agg(F.collect_list("k").alias("stripes"))
+    rows = durable(surroundings.select("rid", "pos", "left", "piece").mapInArrow(common, "key binary, rid long, pos long, k long, known boolean"), "stripes", files_per_core=4)
+    stripes = repeated(rows, "rid", "pos").groupBy("rid", "pos").agg(F.collect_list("k").alias("stripes"))
     asked = surroundings.join(stripes, ["rid", "pos"]).select("n", "rid", "pos", "left", "piece", "stripes")
-    rows = durable(asked.mapInArrow(single, "key binary, n long, rid long, start long"), "windows", files_per_core=4)
-    return rows.where("n = 1").join(repeated(rows, "rid", "start"), "key").select("rid", F.col("start").alias("first"), F.col("start").alias("last"))
+    rows = durable(asked.mapInArrow(single, "key binary, rid long, start long, n long, known boolean"), "windows", files_per_core=4)
+    return repeated(rows, "rid", "start").where("n = 1").select("rid", F.col("start").alias("first"), F.col("start").alias("last"))
 
 
 def _kept(text: bytes, first: np.ndarray, last: np.ndarray) -> tuple[int, int, bytes]:
