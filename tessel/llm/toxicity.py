@@ -237,10 +237,16 @@ def learn_lexicon(train: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
     if not n.get(1):
         return []
     # a context counts once, so that copies of one text cannot make a word toxic
-    distinct = train.mapInArrow(count, "term string, y int, context long").groupBy("term", "context").agg(F.max(F.when(F.col("y") == 1, 1).otherwise(0)).alias("t"), F.max(F.when(F.col("y") == 0, 1).otherwise(0)).alias("c"))
-    counted = distinct.groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    def contexts(toxic: int) -> DataFrame:
+        return train.where(F.col("y") == toxic).mapInArrow(count, "term string, y int, context long").select("term", "context")
+
+    often = contexts(1).distinct().groupBy("term").agg(F.count("*").alias("t")).where(F.col("t") >= MIN_CONTEXTS)
+    often = durable(often, "often", narrow=True)
+    # of the other texts' words, most of all there are, only these are counted: few, they go to all tasks before the shuffle
+    clean = contexts(0).join(often.select("term"), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("c"))
+    counted = often.join(clean, "term", "left").select("term", "t", F.coalesce("c", F.lit(0)).alias("c"))
     ratio = (F.col("t") / n[1]) / ((F.col("c") + 0.5) / max(1, n.get(0, 0)))
-    best = counted.where(F.col("t") >= MIN_CONTEXTS).where(ratio >= MIN_RATIO).orderBy(F.desc(F.col("t") * F.log(ratio)), "term").limit(max_terms)
+    best = counted.where(ratio >= MIN_RATIO).orderBy(F.desc(F.col("t") * F.log(ratio)), "term").limit(max_terms)
     found = {r["term"]: r["t"] for r in best.select("term", "t").collect()}
     words = {w: t for w, t in found.items() if not w.endswith("*")}
     # a beginning is worth an entry if no single word makes up most of it; else that word is the entry
