@@ -162,10 +162,10 @@ def _(t):
 
 @query("c22_q6_by_masks", "SELECT round(sum(o_totalprice), 2) AS s FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' AND o_totalprice > 60000 AND o_orderstatus = 'F'")
 def _(t):
-    # positions are the rows' own; the dates as ranges, the rest as positions, so that no mask holds a row that is not selected
+    # positions are the rows' own, and no mask holds a row that is not selected
     rows = with_row_id(t.orders, "pos")
     n = rows.count()
-    dates = M.mask_of(rows, F.expr("o_orderdate >= timestamp_ntz'1996-01-01' and o_orderdate < timestamp_ntz'1997-01-01'"), "pos", n, "rle")
+    dates = M.mask_of(rows, F.expr("o_orderdate >= timestamp_ntz'1996-01-01' and o_orderdate < timestamp_ntz'1997-01-01'"), "pos", n, "index")
     both = M.mask_of(rows, (c("o_totalprice") > 60000) & (c("o_orderstatus") == "F"), "pos", n, "index")
     return M.select(rows, "pos", dates & both).agg(F.round(F.sum("o_totalprice"), 2).alias("s"))
 
