@@ -3,7 +3,7 @@
 Each stage takes the documents that the one before kept, with all columns, and
 works on whole texts. Null and empty texts are documents like any other; rows that repeat each other are copies, of
 which one stays; an empty table runs through. Stages that hand whole texts to
-Python lower the session's Arrow batch size.
+Python lower the session's Arrow batch size; their Python tasks give their memory back when they end.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tessel.llm import exact_dedup, packing, pii, simhash, toxicity
 from tessel.llm.common import durable, numbered, small_batches, table
 
+#: Bytes of the token caches of the last stage; its executors still hold the memory that earlier stages took.
+CACHE_BYTES = 32_000_000
 #: A row's number while a stage decides on it; the same in each scan.
 ROW = "__tessel_row"
 
@@ -55,7 +57,7 @@ def personal_data_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces and their places in sequences of at most 4096 tokens."""
-    return packing.pack(docs)
+    return packing.pack(docs, cache_bytes=CACHE_BYTES)
 
 
 STAGES = [

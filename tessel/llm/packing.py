@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, table
-from .word_bpe import forget, token_bytes
+from .common import durable, lean, table
+from .word_bpe import CACHE_BYTES, forget, token_bytes
 
 CAPACITY = 4096
 #: The id after each document.
@@ -179,7 +179,7 @@ def best_plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return min((plan_packing(counts, capacity, *s) for s in SETTINGS), key=lambda p: p.bins)
 
 
-def pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, tokenizer: str | None) -> DataFrame:
+def pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, tokenizer: str | None, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Each document's ids, cut after every ``capacity``; ``local_rank`` numbers a task's pieces of one length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +188,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, tokenizer:
         for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             row, out = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = token_bytes(text, tokenizer) + end
+                ids = token_bytes(text, tokenizer, cache_bytes) + end
                 for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                     cut = ids[at : at + 4 * capacity]
                     n = len(cut) // 4
@@ -202,19 +202,20 @@ def pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, tokenizer:
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, part long, local_rank long"
-    return df.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return df.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """``(id, piece, start, length, ids_crc32, sequence_id, offset)``, one row per piece.
 
     Cases: null or empty text - one piece that holds only the end id; a text of
     any length - as many full pieces as it fills, and the rest; null ids and repeated rows
     - packed like any other row; empty table - no rows; extra columns are ignored.
-    The input must be a scan or otherwise give the same rows per task again.
+    The input must be a scan or otherwise give the same rows per task again. ``cache_bytes`` bounds the caches
+    of token ids in each Python worker; it has no effect on the result.
     """
     spark = df.sparkSession
-    rows = durable(pieces(df, id_col, text_col, capacity, tokenizer), "pieces", texts=True)
+    rows = durable(pieces(df, id_col, text_col, capacity, tokenizer, cache_bytes), "pieces", texts=True)
     # ranks within a length over the whole corpus: a task's own ranks, after those of the tasks before it
     counted = durable(rows.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts", narrow=True)
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, table, whole_text
+from .common import bounded_sample, lean, table, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents, smallest hashes first, whose base spans the field's weights are fitted to.
@@ -397,7 +397,7 @@ def redact(df: DataFrame, text_col: str = "text", weights: Weights | None = None
                 columns = [pa.array(new, part.column(place).type) if k == place else c for k, c in enumerate(part.columns)]
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
 
 
 def _joined(spans: Column) -> Column:

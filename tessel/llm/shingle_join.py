@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, numbered, whole_text
+from .common import durable, lean, numbered, whole_text
 from .components import connected_components
 from .exact_dedup import BITMAP_PAGES, _flag, _survivor_bitmap
 from .simhash import _labelled, _mix, bucket_links, fingerprints_of, plan_probes, probe_rows, shingle_hashes
@@ -83,7 +83,7 @@ def common_shingles(df: DataFrame, words: int) -> Order:
     sample = df.select("text", "rid")
     if share < 1:
         sample = sample.where(F.xxhash64("rid") < F.lit(int(share * 2**64) - 2**63))
-    seen = durable(sample.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 2"), "common", narrow=True)
+    seen = durable(sample.select("text").mapInArrow(lean(run), "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 2"), "common", narrow=True)
     top = seen.orderBy(F.desc("n"), "token").limit(COMMON).toPandas()
     token, n = top["token"].to_numpy(dtype=np.int64).view(np.uint64), top["n"].to_numpy(dtype=np.int64)
     rank = np.empty(len(n), dtype=np.int64)
@@ -150,7 +150,7 @@ def _bucketed(rows: DataFrame, emit, schema: str) -> DataFrame:
         if kept:
             yield from emit(pa.Table.from_batches(kept).combine_chunks())
 
-    return rows.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(run, schema)
+    return rows.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(lean(run), schema)
 
 
 def _shared(probes: DataFrame, similarity: Fraction) -> DataFrame:
@@ -188,7 +188,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, similarity: Fraction) -> DataF
     side = nodes.select("node", "size", "sketch")
     both = pairs.join(side.toDF("a", "m", "x"), "a").join(side.toDF("b", "n", "y"), "b")
     fits = (F.col("m") * q >= F.col("n") * p) & (F.col("n") * q >= F.col("m") * p)
-    return both.where(fits).select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long")
+    return both.where(fits).select("a", "b", "m", "n", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def _probed_pairs(nodes: DataFrame) -> DataFrame:
@@ -267,7 +267,7 @@ def near_groups_by_similarity(
                 sets = [_set_of(t, words) for t in batch.column(1).slice(at, 200).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 200), _lists(sets)], names=["node", "shingles"])
 
-    rows = durable(docs.select("id", "text", "rid").mapInArrow(describe, f"id {kind}, rid long, fp binary, size long, prefix array<long>, sketch binary, short binary, print binary"), "sets", texts=True)
+    rows = durable(docs.select("id", "text", "rid").mapInArrow(lean(describe), f"id {kind}, rid long, fp binary, size long, prefix array<long>, sketch binary, short binary, print binary"), "sets", texts=True)
     classes = durable(rows.groupBy("fp").agg(F.min("id").alias("least"), F.min("rid").alias("node"), F.count("*").alias("n")), "classes", narrow=True)
     again = durable(rows.join(classes.where("n > 1").select("fp", "node"), "fp").where("rid <> node").select("rid"), "again", narrow=True)
     nodes = rows.join(again, "rid", "left_anti").withColumnRenamed("rid", "node")
@@ -279,7 +279,7 @@ def near_groups_by_similarity(
         bitmap = durable(_survivor_bitmap(asked, "k", BITMAP_PAGES), "asked", narrow=True)
         # a row that shares an asked one's bit gives a set that no pair asks for
         texts = _flag(docs.select("rid", "text"), F.xxhash64("rid"), bitmap, BITMAP_PAGES, "__any").where("__any").select("rid", "text")
-        sets = durable(texts.mapInArrow(whole, "node long, shingles array<long>"), "asked-sets", files_per_core=4, texts=True)
+        sets = durable(texts.mapInArrow(lean(whole), "node long, shingles array<long>"), "asked-sets", files_per_core=4, texts=True)
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("n"), (F.size("x") + F.size("y")).cast("long").alias("total"))
         return durable(counted.where(F.col("n") * wanted.denominator >= (F.col("total") - F.col("n")) * wanted.numerator).select("a", "b"), "similar", narrow=True)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, durable, table
+from .common import bounded_sample, durable, lean, table
 
 #: Labelled rows, smallest id hashes first, that lexicon and model are fitted to.
 TRAIN_ROWS = 20_000
@@ -238,7 +238,7 @@ def learn_lexicon(train: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
         return []
     # a context counts once, so that copies of one text cannot make a word toxic
     def contexts(toxic: int) -> DataFrame:
-        return train.where(F.col("y") == toxic).mapInArrow(count, "term string, y int, context long").select("term", "context")
+        return train.where(F.col("y") == toxic).mapInArrow(lean(count), "term string, y int, context long").select("term", "context")
 
     often = contexts(1).distinct().groupBy("term").agg(F.count("*").alias("t")).where(F.col("t") >= MIN_CONTEXTS)
     often = durable(often, "often", narrow=True)
@@ -268,7 +268,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", train_ro
             x = [features(t, hits) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
-    rows = train.mapInArrow(measure, "x array<double>, y int").collect()  # at most train_rows x 9 numbers
+    rows = train.mapInArrow(lean(measure), "x array<double>, y int").collect()  # at most train_rows x 9 numbers
     x = np.array([r["x"] for r in rows]).reshape(-1, N_FEATURES)
     return Model(terms, fit_logistic(x, np.array([r["y"] for r in rows], dtype=float)).tolist())
 
@@ -292,7 +292,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", name: str = "scor
                 p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(p)], names=[*part.schema.names[1:], name])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields[1:], T.StructField(name, T.DoubleType())]))
+    return df.mapInArrow(lean(run), T.StructType([*df.schema.fields[1:], T.StructField(name, T.DoubleType())]))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

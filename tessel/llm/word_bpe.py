@@ -17,7 +17,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
-#: Bytes, by estimate, of one of a worker process's two generations of cached chunks, and of its cached words.
+#: Bytes, by estimate, of one of a worker process's two generations of cached chunks, and of its cached words, if no other bound is given.
 CACHE_BYTES = 96_000_000
 #: What an entry takes beside its letters and ids: two objects and its place in the table.
 _ENTRY = 200
@@ -52,8 +52,9 @@ class _Chunks(dict):
     When this generation is full it becomes the old one; what is asked for again moves on to the next.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, bound: int):
         super().__init__()
+        self.bound = bound
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.forget()
@@ -74,11 +75,11 @@ class _Chunks(dict):
         return found
 
     def __missing__(self, chunk: str) -> bytes:
-        if self.held >= CACHE_BYTES:
+        if self.held >= self.bound:
             self.old = dict(self)
             self.clear()
             self.held = 0
-        if self.held_words >= CACHE_BYTES:
+        if self.held_words >= self.bound:
             self.words.clear()
             self.held_words = 0
         found = self.old.get(chunk)
@@ -98,13 +99,13 @@ class _Chunks(dict):
 
 
 @lru_cache(maxsize=4)
-def _chunks(path: str) -> _Chunks:
-    return _Chunks(path)
+def _chunks(path: str, bound: int) -> _Chunks:
+    return _Chunks(path, bound)
 
 
-def token_bytes(text: str | None, path: str | None = None) -> bytes:
+def token_bytes(text: str | None, path: str | None = None, cache_bytes: int = CACHE_BYTES) -> bytes:
     """The ids of ``encode(text, add_special_tokens=False)`` as little-endian 32-bit numbers; null counts as empty."""
-    chunks = _chunks(path or public_tokenizers.path(DEFAULT_TOKENIZER))
+    chunks = _chunks(path or public_tokenizers.path(DEFAULT_TOKENIZER), cache_bytes)
     if not text:
         return b""
     if "<|" in text or _ODD_SPACE.search(text):
